@@ -5,19 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import chat, mixing, quality
 from tidemark.llm._shared import table
+from tidemark.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.preference_pairs(table(spark, sf_dir, "conversations"))
+    masks = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("chosen_mask", "rejected_mask")}
+    return pairs.withColumns(masks)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_preference_formatting": op2_preference_formatting,
     "op5_quality_rules": op5_quality_rules,
+    "op6_source_mixing": op6_source_mixing,
 }
-
-SQL: dict[str, str] = {}
