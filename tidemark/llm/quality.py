@@ -28,7 +28,7 @@ from tidemark.llm._shared import SPACES, WORD, count_words, let, text_or_empty
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 #: Rows of the sample that costs and selectivities are estimated on.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
 
 
 def n_words(text: Column) -> Column:
@@ -160,22 +160,21 @@ class Estimate:
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and selectivity of each rule on at most ``sample_rows`` documents, best rule first.
 
-    The sample is drawn by a hash of the text and read from as few partitions as hold enough rows.
-    Equal gains keep the given order.
+    The sample is drawn by a hash of the text, from as few partitions as hold enough rows, and goes
+    through the driver, so it costs the same however large the table. Equal gains keep the given order.
     """
-    picked = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0)
-    rows = picked.limit(sample_rows).persist()
+    picked = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows).collect()
+    if not picked:
+        return [Estimate(rule, 1.0, 0.0) for rule in rules]
+    rows = docs.sparkSession.createDataFrame(picked, "text string").persist()
     try:
-        n = rows.count()
-        if not n:
-            return [Estimate(rule, 1.0, 0.0) for rule in rules]
         found = []
         for rule in rules:
             tested = rows.select(F.sum(rule.rejects(of_text(F.col("text"))).cast("long")).alias("n"))
             tested.collect()  # compiles the plan's code, which is not the rule's cost
             began = time.perf_counter()
             rejected = tested.collect()[0]["n"] or 0
-            found.append(Estimate(rule, time.perf_counter() - began, rejected / n))
+            found.append(Estimate(rule, time.perf_counter() - began, rejected / len(picked)))
         return sorted(found, key=lambda e: -e.gain)
     finally:
         rows.unpersist()
