@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,3 +76,26 @@ def count_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for source in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
+            archive.write(source, source.relative_to(package.parent))
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    path = os.path.join(folder, "tidemark_llm.zip")
+    Path(path).write_bytes(held.getvalue())
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)

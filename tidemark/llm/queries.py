@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, quality
+from tidemark.llm import chat, mixing, packing, quality, shards
 from tidemark.llm._shared import table
 from tidemark.llm.sql import SQL
 
@@ -22,6 +22,10 @@ def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns(masks)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -31,8 +35,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_preference_formatting": op2_preference_formatting,
+    "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mixing": op6_source_mixing,
+    "op9_training_shards": op9_training_shards,
 }
