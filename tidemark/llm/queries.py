@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, packing, quality, shards, simhash
+from tidemark.llm import chat, mixing, packing, quality, shards, simhash, toxicity
 from tidemark.llm._shared import table
 from tidemark.llm.sql import SQL
 
@@ -35,6 +35,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mixing": op6_source_mixing,
+    "op7_toxicity_chain": op7_toxicity_chain,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_training_shards": op9_training_shards,
 }
