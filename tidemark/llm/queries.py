@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, packing, quality, shards, simhash, toxicity
+from tidemark.llm import chat, extract, mixing, packing, quality, shards, simhash, toxicity
 from tidemark.llm._shared import table
 from tidemark.llm.sql import SQL
 
@@ -26,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op9_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_preference_formatting": op2_preference_formatting,
     "op3_packing": op3_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mixing": op6_source_mixing,
     "op7_toxicity_chain": op7_toxicity_chain,
