@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, extract, mixing, packing, quality, shards, simhash, toxicity
+from tidemark.llm import chat, extract, mixing, packing, quality, shards, simhash, topk, toxicity
 from tidemark.llm._shared import table
 from tidemark.llm.sql import SQL
 
@@ -16,6 +16,10 @@ __all__ = ["QUERIES", "SQL"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.preference_pairs(table(spark, sf_dir, "conversations"))
     masks = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("chosen_mask", "rejected_mask")}
@@ -53,6 +57,7 @@ def op9_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_preference_formatting": op2_preference_formatting,
     "op3_packing": op3_packing,
     "op4_html_extraction": op4_html_extraction,
