@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, extract, mixing, packing, quality, shards, simhash, topk, toxicity
+from tidemark.llm import chat, extract, licenses, mixing, packing, quality, shards, simhash, topk, toxicity
 from tidemark.llm._shared import table
 from tidemark.llm.sql import SQL
 
@@ -56,6 +56,10 @@ def op9_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.training_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_preference_formatting": op2_preference_formatting,
@@ -66,4 +70,5 @@ QUERIES: dict[str, Query] = {
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_training_shards": op9_training_shards,
+    "op10_license_scan": op10_license_scan,
 }
