@@ -1,0 +1,60 @@
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions.bounds import UNBOUNDED, Bound, contains, equals, excluded, in_range, included, passes_filters
+
+KEYS = [b"", b"\x00", b"\x00\x01", b"a", b"ab", b"b", b"\x7f", b"\xff"]
+
+
+def test_byte_order_and_all_kinds_of_ends(spark):
+    df = spark.createDataFrame([(k,) for k in KEYS], "k binary")
+    assert [bytes(r.k) for r in df.orderBy("k").collect()] == sorted(KEYS)
+    ends = [UNBOUNDED, included(b"a"), excluded(b"a"), included(b"\xff"), excluded(b"\x00")]
+    for low, high in itertools.product(ends, ends):
+        got = sorted(bytes(r.k) for r in df.where(in_range(["k"], low, high)).collect())
+        want = sorted(
+            k for k in KEYS
+            if (low.unbounded or k > low.key or (low.closed and k == low.key)) and (high.unbounded or k < high.key or (high.closed and k == high.key))
+        )
+        assert got == want
+        assert want == sorted(k for k in KEYS if contains(low, high, k))
+
+
+def test_composite_keys_and_their_prefixes(spark):
+    rows = [(a, b) for a in range(3) for b in range(3)]
+    df = spark.createDataFrame(rows, "a int, b int")
+
+    def got(low, high):
+        return sorted(tuple(r) for r in df.where(in_range(["a", "b"], low, high)).collect())
+
+    assert got(included((1, 1)), excluded((2, 0))) == [(1, 1), (1, 2)]
+    assert got(excluded((1, 1)), included((2, 0))) == [(1, 2), (2, 0)]
+    assert got(included((1,)), included((1,))) == [(1, 0), (1, 1), (1, 2)]
+    assert got(excluded((1,)), UNBOUNDED) == [(2, 0), (2, 1), (2, 2)]
+    for low, high in ((included((1, 1)), excluded((2, 0))), (excluded((1,)), UNBOUNDED), (included((1,)), included((1,)))):
+        assert got(low, high) == [r for r in rows if contains(low, high, r)]
+    with pytest.raises(ValueError):
+        in_range(["a"], included((1, 2)))
+    with pytest.raises(ValueError):
+        equals(["a", "b"], (1,))
+
+
+def test_plain_values_are_half_open(spark):
+    df = spark.range(10)
+    assert [r.id for r in df.where(in_range(["id"], 3, 7)).orderBy("id").collect()] == [3, 4, 5, 6]
+    assert Bound().unbounded
+
+
+def test_range_reaches_the_scan(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    plan = spark.read.parquet(str(tmp_path / "t")).where(in_range(["id"], 3, excluded(7)))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(id,3)" in plan and "LessThan(id,7)" in plan
+
+
+def test_prefix_filter(spark):
+    df = spark.createDataFrame([("ab",), ("b",), ("a",), ("c",)], "k string")
+    assert sorted(r.k for r in df.where(passes_filters("k", ["a", "c"])).collect()) == ["b"]
+    assert df.where(passes_filters("k", [])).count() == 4
+    assert df.where(F.lit(True)).count() == 4

@@ -1,0 +1,124 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import conflicts, versions
+from tidemark.operators.versions import Versions
+
+V = Versions(keys=("k",))
+SCHEMA = "k string, ts long, is_tombstone boolean, value string"
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.createDataFrame(
+        [("a", 1, False, "a1"), ("a", 3, True, None), ("b", 2, False, "b2"), ("b", 4, False, "b4"), ("c", 5, True, None), ("c", 1, False, ""), ("a", 6, False, "a6")], SCHEMA
+    ).cache()
+
+
+def test_as_of(small):
+    assert rows_of(versions.as_of(small, V), "k", "value") == [("a", "a6"), ("b", "b4")]
+    assert rows_of(versions.as_of(small, V, 4), "k", "value") == [("b", "b4"), ("c", "")]
+    assert rows_of(versions.as_of(small, V, 0)) == []
+    assert [r.k for r in versions.scan(small, V, read_ts=2).collect()] == ["a", "b", "c"]
+
+
+def test_tombstones_go_after_the_choice(small):
+    wrong = versions.newest(versions.live(small, V), V, 4)
+    assert ("a", "a1") in rows_of(wrong, "k", "value")
+    assert "a" not in [r.k for r in versions.as_of(small, V, 4).collect()]
+
+
+def test_point_get_and_history(small):
+    assert rows_of(versions.point_get(small, V, "a"), "value") == [("a6",)]
+    assert rows_of(versions.point_get(small, V, "a", 3)) == []
+    assert rows_of(versions.point_get(small, V, "zz")) == []
+    assert [r[0] for r in rows_of(versions.history(small, V, "a"), "ts")] == [1, 3, 6]
+
+
+def test_changes(small):
+    assert rows_of(versions.changes(small, V, 1, 4)) == [("a", 3, 3, 1), ("b", 2, 4, 2)]
+
+
+def kv(spark, pairs):
+    return spark.createDataFrame(pairs, "k string, v string")
+
+
+def test_merge_disjoint_and_overlapping(spark):
+    a = kv(spark, [("key1", "a1"), ("key3", "a3"), ("key5", "a5")])
+    b = kv(spark, [("key2", "b2"), ("key4", "b4"), ("key6", "b6")])
+    c = kv(spark, [("key1", "c1"), ("key3", "c3"), ("key7", "c7")])
+    assert [r.k for r in versions.merge([a, b], ["k"]).collect()] == [f"key{i}" for i in range(1, 7)]
+    assert [(r.k, r.v) for r in versions.merge([a, c], ["k"]).collect()] == [("key1", "a1"), ("key3", "a3"), ("key5", "a5"), ("key7", "c7")]
+    assert rows_of(versions.overlay(c, a, ["k"])) == rows_of(versions.merge([a, c], ["k"]), "k", "v")
+    empty = kv(spark, [])
+    assert versions.merge([empty, empty], ["k"]).count() == 0
+    assert versions.merge([empty, a], ["k"]).count() == 3
+    with pytest.raises(ValueError):
+        versions.merge([], ["k"])
+
+
+def test_merge_many(spark):
+    even = spark.range(0, 1000, 2).withColumnRenamed("id", "k")
+    odd = spark.range(1, 1000, 2).withColumnRenamed("id", "k")
+    assert [r.k for r in versions.merge([even, odd], ["k"]).collect()] == list(range(1000))
+
+
+def test_apply_writes(small, spark):
+    base = versions.as_of(small, V, 4).select("k", "value")
+    writes = spark.createDataFrame([("b", True, None), ("d", False, "d"), ("c", False, "new")], "k string, is_tombstone boolean, value string")
+    assert rows_of(versions.apply_writes(base, writes, V)) == [("c", "new"), ("d", "d")]
+
+
+def test_diff_tells_null_and_absence_apart(spark):
+    a, b = kv(spark, [("x", None), ("y", "1"), ("z", "1")]), kv(spark, [("x", None), ("y", None), ("w", None)])
+    assert sorted((r.k, r.kind) for r in versions.diff(a, b, ["k"], "v").collect()) == [("w", "added"), ("y", "changed"), ("z", "removed")]
+
+
+@pytest.mark.parametrize("bottom", [False, True])
+def test_gc_keeps_what_every_reader_sees(spark, bottom):
+    rnd = random.Random(1)
+    rows = [(f"k{rnd.randrange(6)}", ts, rnd.random() < 0.3, f"v{ts}") for ts in range(1, 60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = versions.gc_keep(df, V, 30, bottom).cache()
+    assert kept.count() < len(rows)
+    for ts in (30, 31, 40, 59):
+        assert rows_of(versions.as_of(kept, V, ts)) == rows_of(versions.as_of(df, V, ts))
+    if not bottom:
+        dropped = sum(r.n_obsolete for r in versions.gc_obsolete(df, V, 30).collect())
+        assert kept.count() == len(rows) - dropped
+
+
+@pytest.mark.parametrize("width", [None, 7, 1000])
+def test_as_of_lookup(spark, width):
+    rnd = random.Random(2)
+    rows = [(f"k{rnd.randrange(4)}", ts, rnd.random() < 0.2, f"v{ts}") for ts in range(1, 80)]
+    probes = [(f"k{rnd.randrange(6)}", rnd.randrange(0, 100)) for _ in range(50)] + [("k1", 40), ("k1", 40)]
+    got = versions.as_of_lookup(spark.createDataFrame(probes, "k string, at long"), spark.createDataFrame(rows, SCHEMA), V, "at", width)
+    want = []
+    for k, at in probes:
+        seen = [r for r in rows if r[0] == k and r[1] <= at]
+        if seen and not max(seen, key=lambda r: r[1])[2]:
+            want.append((k, at, max(seen, key=lambda r: r[1])[3]))
+    assert rows_of(got, "k", "at", "value") == sorted(want)
+
+
+def test_equal_versions_go_to_the_largest_tie(spark):
+    v = Versions(keys=("k",), ties=("seq",))
+    df = spark.createDataFrame([("a", 1, False, "old", 1), ("a", 1, False, "new", 2)], SCHEMA + ", seq int")
+    assert rows_of(versions.as_of(df, v), "value") == [("new",)]
+
+
+def test_conflicts(spark):
+    writes = spark.createDataFrame([(1, 0, 5, "a"), (2, 3, 6, "a"), (3, 5, 7, "a"), (4, 0, 8, "b")], "txn long, read_ts long, commit_ts long, k string")
+    assert rows_of(conflicts.write_write(writes, ["k"])) == [(2, 1, "a"), (3, 2, "a")]
+    reads = spark.createDataFrame([(2, "a"), (2, "b")], "txn long, k string")
+    assert rows_of(conflicts.read_write(reads, writes, ["k"], F.col("writer") == F.col("txn") - 1)) == [(2, 1, "a")]
+    active = spark.createDataFrame([(7,), (3,)], "read_ts long")
+    assert rows_of(conflicts.low_water(active, 9)) == [(3,)]
+    assert rows_of(conflicts.low_water(active.limit(0), 9)) == [(9,)]
