@@ -24,7 +24,6 @@ import functools
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +36,7 @@ from tidemark.llm._shared import map_arrow
 
 #: In chain order: a category's name and its 0/1 label from the columns of ``labels``.
 CATEGORIES: tuple[tuple[str, str], ...] = (("low_quality", "1 - quality"), ("toxic", "toxic"))
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 6_000
 MAX_FEATURES = 4096
 BEGINNINGS = (4, 5)
 FOLDS = 4
@@ -91,14 +90,17 @@ class Chain:
 class _Rows:
     """Rows of features, as positions in a vocabulary of everything that occurs often enough."""
 
-    def __init__(self, rows: list[set[str]]):
-        count = Counter(f for row in rows for f in row)
-        self.names = sorted(f for f, n in count.items() if n >= LEAST_ROWS)
-        at = {f: k for k, f in enumerate(self.names)}
-        held = [np.array(sorted(at[f] for f in row if f in at), dtype=np.int64) for row in rows]
-        self.row = np.repeat(np.arange(len(rows)), [len(x) for x in held])
-        self.feature = np.concatenate(held) if held else np.empty(0, np.int64)
-        self.n = len(rows)
+    def __init__(self, found: pa.ListArray):
+        coded = found.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        count = np.bincount(code, minlength=len(coded.dictionary))
+        often = np.flatnonzero(count >= LEAST_ROWS)
+        self.names = coded.dictionary.take(pa.array(often)).to_pylist()
+        place = np.full(len(count), -1, np.int32)
+        place[often] = np.arange(len(often), dtype=np.int32)
+        row = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(found.offsets.to_numpy()))
+        live = place[code] >= 0
+        self.row, self.feature, self.n = row[live], place[code[live]], len(found)
 
     def telling(self, y: np.ndarray, used: np.ndarray) -> np.ndarray:
         """The features that tell the sides apart, over the rows in use."""
@@ -170,9 +172,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(_sigmoid(cut))
 
 
-def train(rows: list[set[str]], labels: np.ndarray, keys: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
+def train(rows: list[set[str]] | pa.ListArray, labels: np.ndarray, keys: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
     """The chain from rows of features, their labels (one column per category) and integer keys that deal out the folds."""
-    held = _Rows(rows)
+    held = _Rows(rows if isinstance(rows, pa.ListArray) else pa.array([sorted(r) for r in rows], pa.list_(pa.string())))
     fold = keys % folds
     before = np.zeros((len(rows), 0))
     models, thresholds, accuracy = [], [], []
@@ -198,10 +200,15 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):
             rows = batch.slice(k, 256)
             found = [sorted(features(t)) for t in rows.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found, pa.list_(pa.string())), *(rows.column(c) for c in rows.schema.names[2:])], names=["doc_id", "found", *rows.schema.names[2:]])
+            copies = [_copies(f) for f in found]
+            labels = [c for c in rows.schema.names if c.startswith("label_")]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(found, pa.list_(pa.string())), *(pa.array([c[i] for c in copies], pa.int64()) for i in (0, 1)), *(rows.column(c) for c in labels)],
+                names=["doc_id", "found", "copy_a", "copy_b", *labels],
+            )
 
 
-def _copies(row: set[str]) -> tuple[int, int]:
+def _copies(row: list[str]) -> tuple[int, int]:
     """Equal for equal sets, and mostly for sets that are nearly equal."""
     codes = np.array([zlib.crc32(f.encode()) for f in row] or [0], dtype=np.uint64)
     return int(codes.min()), int(((codes * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min())
@@ -217,21 +224,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most train_rows rows are broadcast; of an id with several texts one is taken.
     sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in picked.columns[1:]))
-    schema = ", ".join(["doc_id long", "found array<string>", *(f"{c} int" for c in picked.columns[1:])])
-    held = map_arrow(sample, _features, schema).toArrow()
-    order = np.argsort(held.column("doc_id").to_numpy(), kind="stable")
-    rows: list[set[str]] = []
-    taken, seen = [], set()
-    found = held.column("found")
-    for k in order.tolist():
-        row = set(found[k].as_py())
-        if (code := _copies(row)) not in seen:
-            seen.add(code)
-            rows.append(row)
-            taken.append(k)
-    marks = np.column_stack([held.column(c).to_numpy() for c in held.schema.names[2:]])[taken] if taken else np.zeros((0, len(names)))
-    keys = np.array([zlib.crc32(str(x).encode()) for x in held.column("doc_id").to_numpy()[taken].tolist()], dtype=np.int64)
-    return train(rows, marks, keys, names)
+    labels_of = picked.columns[1:]
+    schema = ", ".join(["doc_id long", "found array<string>", "copy_a long", "copy_b long", *(f"{c} int" for c in labels_of)])
+    held = map_arrow(sample, _features, schema).orderBy("doc_id").toArrow()
+    codes = np.column_stack([held.column(c).to_numpy() for c in ("copy_a", "copy_b")])
+    first = np.sort(np.unique(codes, axis=0, return_index=True)[1])  # of near copies the smallest id
+    kept = held.take(pa.array(first))
+    del held
+    marks = np.column_stack([kept.column(c).to_numpy() for c in labels_of])
+    keys = np.array([zlib.crc32(str(x).encode()) for x in kept.column("doc_id").to_pylist()], dtype=np.int64)
+    found = kept.column("found").combine_chunks()
+    del kept
+    return train(found if isinstance(found, pa.ListArray) else found.chunk(0), marks, keys, names)
 
 
 def _score(batches, chain: Chain) -> Iterator[pa.RecordBatch]:
