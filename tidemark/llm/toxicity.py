@@ -40,6 +40,8 @@ TRAIN_ROWS = 6_000
 MAX_FEATURES = 4096
 BEGINNINGS = (4, 5)
 FOLDS = 4
+#: Min-hashes that near copies among the training rows agree in.
+SKETCH = 6
 #: A feature is taken if its share on the two sides differs by so many standard errors.
 LEAST_Z = 6.0
 LEAST_ROWS = 3
@@ -200,18 +202,18 @@ def _features(batches) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):
             rows = batch.slice(k, 256)
             found = [sorted(features(t)) for t in rows.column("text").to_pylist()]
-            copies = [_copies(f) for f in found]
             labels = [c for c in rows.schema.names if c.startswith("label_")]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(found, pa.list_(pa.string())), *(pa.array([c[i] for c in copies], pa.int64()) for i in (0, 1)), *(rows.column(c) for c in labels)],
-                names=["doc_id", "found", "copy_a", "copy_b", *labels],
+                [rows.column("doc_id"), pa.array(found, pa.list_(pa.string())), pa.array([_copies(f) for f in found], pa.int64()), *(rows.column(c) for c in labels)],
+                names=["doc_id", "found", "sketch", *labels],
             )
 
 
-def _copies(row: list[str]) -> tuple[int, int]:
-    """Equal for equal sets, and mostly for sets that are nearly equal."""
+def _copies(row: list[str]) -> int:
+    """A hash of ``SKETCH`` min-hashes: equal for equal sets, mostly for nearly equal ones, hardly ever for others."""
     codes = np.array([zlib.crc32(f.encode()) for f in row] or [0], dtype=np.uint64)
-    return int(codes.min()), int(((codes * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min())
+    least = [int((codes * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).min()) for k in range(SKETCH)]
+    return zlib.crc32(repr(least).encode()) << 31 | zlib.crc32(repr(least[::-1]).encode()) >> 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain:
@@ -225,10 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: i
     # At most train_rows rows are broadcast; of an id with several texts one is taken.
     sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in picked.columns[1:]))
     labels_of = picked.columns[1:]
-    schema = ", ".join(["doc_id long", "found array<string>", "copy_a long", "copy_b long", *(f"{c} int" for c in labels_of)])
+    schema = ", ".join(["doc_id long", "found array<string>", "sketch long", *(f"{c} int" for c in labels_of)])
     held = map_arrow(sample, _features, schema).orderBy("doc_id").toArrow()
-    codes = np.column_stack([held.column(c).to_numpy() for c in ("copy_a", "copy_b")])
-    first = np.sort(np.unique(codes, axis=0, return_index=True)[1])  # of near copies the smallest id
+    first = np.sort(np.unique(held.column("sketch").to_numpy(), return_index=True)[1])  # of near copies the smallest id
     kept = held.take(pa.array(first))
     del held
     marks = np.column_stack([kept.column(c).to_numpy() for c in labels_of])
