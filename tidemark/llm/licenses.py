@@ -174,7 +174,8 @@ def scan(docs: DataFrame, directory: Column, name: Column, templates=TEMPLATES,
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     steps = found.select("directory").distinct().select("directory", F.posexplode(up).alias("depth", "ancestor"))
     nearest = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("depth")))
-    heirs = steps.join(given, "ancestor").withColumn("k", nearest).where(F.col("k") == 1).select("directory", "ancestor", "theirs")
+    # Written out, it is one small table to join with, so that a crowded directory can be split or need not move at all.
+    heirs = materialize(steps.join(given, "ancestor").withColumn("k", nearest).where(F.col("k") == 1).select("directory", "ancestor", "theirs"), "heirs")
 
     own = F.col("own_license").isNotNull()
     return found.join(heirs, "directory", "left").select(
