@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import map_arrow, materialize
 
 LEAST = 0.7
+#: Different terms that a match has in common with its template: a stray word is no notice.
+LEAST_TERMS = 3
 
 #: Short public notices of common licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -61,11 +63,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-_TERM = re.compile(r"[a-z0-9]+")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def terms(text: str) -> list[str]:
@@ -89,15 +92,18 @@ class Matcher:
     def best(self, found: Counter) -> tuple[float, str] | None:
         """Best cosine and its licence, if at least ``least``. Terms outside the templates weigh as much as the rarest."""
         dot: dict[int, float] = {}
+        shared: Counter = Counter()
         square = 0.0
         for t, n in found.items():
             w = n * self.idf.get(t, self.unseen)
             square += w * w
             for k, v in self.index.get(t, ()):
                 dot[k] = dot.get(k, 0.0) + w * v
-        if not dot:
+                shared[k] += 1
+        close = [(-d, self.names[k]) for k, d in dot.items() if shared[k] >= LEAST_TERMS]
+        if not close:
             return None
-        score, name = min((-d, self.names[k]) for k, d in dot.items())
+        score, name = min(close)
         score = -score / math.sqrt(square)
         return (score, name) if score >= self.least else None
 
