@@ -122,6 +122,7 @@ def test_lookup_changes_and_diff(make, spark):
     assert sorted(pairs(t.changes(1, 3)))[0] == (1, 2, 3, 2)
     assert sorted(r.k for r in t.diff(2, 3, "v").collect()) == [1, 13]
     assert t.cache(read_ts=2).count() == 3
+    assert tuple(t.first_last()) == (1, 14, 5)
     t.close()
 
 

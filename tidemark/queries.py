@@ -11,6 +11,9 @@ from tidemark.functions.bounds import excluded, included, passes_filters
 from tidemark.operators import conflicts, versions
 from tidemark.operators.versions import Versions
 from tidemark.sources import log, runs
+from tidemark.sources.scratch import shared_path
+from tidemark.streaming.ingest import ingest
+from tidemark.table import Options, Table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +163,58 @@ def first_last(spark, d):
     return versions.first_last(versions.as_of(change_log(spark, d), LOG), "k")
 
 
+def _stored_log(spark, d, **options) -> Table:
+    """The change log written into a table in four commits, each event at its own timestamp."""
+    table = Table.create(spark, shared_path(spark, "table"), "k long", "value double", Options(**options))
+    rows = change_log(spark, d)
+    for part in range(4):
+        mine = rows.where(F.floor(F.col("ts") / 2500) % 4 == part)
+        table.write(mine, tombstone=F.col("is_tombstone"), ts=F.col("ts"))
+    return table
+
+
+def table_asof(spark, d):
+    return _stored_log(spark, d).scan(read_ts=5000)
+
+
+def table_compacted(spark, d):
+    """Compaction by plan, with all versions above 5000 kept: the scan as of 6000 stays what it was."""
+    newest = int(change_log(spark, d).agg(F.max("ts")).collect()[0][0] or 0)
+    table = _stored_log(spark, d, strategy="simple", strategy_options={"level0_runs": 2}, retain_versions=max(0, newest - 5000))
+    table.compact()
+    return table.scan(included(30), excluded(120), read_ts=6000)
+
+
+def table_transaction(spark, d):
+    """A committed transaction: deletes, overwrites and a new key over the stored log."""
+    table = _stored_log(spark, d)
+    with table.begin("serializable") as txn:
+        for k in range(10, 20):
+            txn.delete(k)
+        for k in range(20, 30):
+            txn.put(k, float(k))
+        txn.put(-1, 0.5)
+    return table.scan(upper=40)
+
+
+def table_history(spark, d):
+    return _stored_log(spark, d).history(17)
+
+
+def table_stream(spark, d):
+    """The same log as a stream: one run for each micro-batch, in order of arrival."""
+    table = Table.create(spark, shared_path(spark, "table"), "event_id long", "user_id long, event_type string")
+    events = _read(spark, d, "events")
+    stream = spark.readStream.schema(events.schema)
+    if events.inputFiles()[0].endswith("/events.parquet"):  # one file: a stream reads folders
+        source = stream.option("pathGlobFilter", "events.parquet").parquet(d)
+    else:
+        source = stream.parquet(f"{d}/events.parquet")
+    query = ingest(source, table, f"events-{table.path[-8:]}", shared_path(spark, "stream"), tombstone=F.col("event_type") == "error", availableNow=True)
+    query.awaitTermination()
+    return table.scan(lower=100, upper=900)
+
+
 QUERIES: dict[str, Query] = {
     "point_get": point_get,
     "scan_incl_excl": _scan(included(30), excluded(70)),
@@ -189,6 +244,11 @@ QUERIES: dict[str, Query] = {
     "asof_lookup": asof_lookup,
     "composite_key": composite_key,
     "first_last": first_last,
+    "table_asof": table_asof,
+    "table_compacted": table_compacted,
+    "table_transaction": table_transaction,
+    "table_history": table_history,
+    "table_stream": table_stream,
 }
 
 
@@ -259,4 +319,10 @@ SQL: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
           ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem) WHERE n = 1""",
     "first_last": _LOG + _sql_live(columns="min(k) AS min_key, max(k) AS max_key, count(*) AS n"),
+    "table_asof": _LOG + _sql_live("ts <= 5000", "k, value"),
+    "table_compacted": _LOG + _sql_live("ts <= 6000 AND k >= 30 AND k < 120", "k, value"),
+    "table_transaction": _LOG + f"""SELECT * FROM ({_sql_live("k < 40", "k, value")}) WHERE k < 10 OR k >= 30
+        UNION ALL SELECT k, k::DOUBLE FROM range(20, 30) AS r(k) UNION ALL SELECT -1, 0.5""",
+    "table_history": _LOG + "SELECT k, ts, is_tombstone, CASE WHEN NOT is_tombstone THEN value END AS value FROM log WHERE k = 17",
+    "table_stream": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error' AND event_id >= 100 AND event_id < 900",
 }

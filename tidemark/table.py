@@ -12,6 +12,7 @@ log, pick the runs that can matter, and build one DataFrame over their files.
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import uuid
 from collections import Counter
@@ -34,6 +35,8 @@ from tidemark.sources.runs import Run, prune
 MAX_TS = 2**63 - 1
 TS, TOMBSTONE, SEQ, POS = "_ts", "_tombstone", "_seq", "_pos"
 
+logger = logging.getLogger(__name__)
+
 #: Read timestamps in use, by table path: they hold back garbage collection.
 _readers: dict[str, Counter] = {}
 _lock = threading.RLock()
@@ -207,6 +210,14 @@ class Table:
     def diff(self, old_ts: int, new_ts: int, value: str) -> DataFrame:
         return versions.diff(self.scan(read_ts=old_ts, ordered=False), self.scan(read_ts=new_ts, ordered=False), self.keys, value)
 
+    def first_last(self, read_ts: int | None = None) -> Row:
+        """Smallest and largest live key (by the first key column) and the number of live rows."""
+        return versions.first_last(self.scan(read_ts=read_ts, ordered=False), self.keys[0]).collect()[0]
+
+    def sync(self) -> None:
+        """Make buffered writes durable; a published commit is."""
+        self.flush()
+
     def cache(self, **scan) -> DataFrame:
         """A scan that stays in memory until :meth:`close`."""
         df = self.scan(**scan).persist()
@@ -291,7 +302,9 @@ class Table:
                 for old in lost:
                     self.store.delete(old)
                 self._state = after
+                logger.info("%s: version %d, timestamp %d, %d new runs", self.path, version, ts, len(added))
                 return after
+            logger.info("%s: version %d went to another writer", self.path, version)
             lost.append(folder)
             written = self.spark.read.schema(self._frame([]).schema).parquet(f"{self.path}/{folder}") if added else self._frame([])
             source = written.drop(SEQ) if stamped else written.drop(SEQ, TS)
@@ -371,6 +384,7 @@ class Table:
             after = self.manifest.publish(Commit(state.version + 1, state.ts, "compact", tuple(added), gone, info), state)
             if after is not None:
                 self._state = after
+                logger.info("%s: merged %d runs into %d at level %d, low water %d", self.path, len(gone), len(added), task.target, low)
                 return after
             state = self.state()
             there = {r.id for r in state.runs}
