@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -13,36 +14,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import shared_path
+
 #: One word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-_own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    It is the one named by ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors are one process, may go without that setting; it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/{context.applicationId}"
-    if not (context.master or "").startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-    return f"file://{_own_dirs[context.applicationId]}"
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
 
@@ -54,13 +34,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for each row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -86,9 +59,10 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent.parent
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as archive:
-        for source in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
+        for source in sorted(package.rglob("*.py")):
             archive.write(source, source.relative_to(package.parent))
-    folder = tempfile.mkdtemp(prefix="tidemark-")
+    folder = tempfile.mkdtemp(prefix="tidemark-")  # of the driver, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "tidemark_llm.zip")
     Path(path).write_bytes(held.getvalue())
     context.addPyFile(path)
