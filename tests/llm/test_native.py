@@ -34,7 +34,7 @@ def brute_quality(text):
 def docs(spark):
     rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, len(t or ""), "extra") for i, t in enumerate(TEXTS)]
     rows += [rows[4], (None, "null id words here", "en", "s1", 3, "extra")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").cache()
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").withColumns({c: F.col("kept") for c in ("size", "tie", "key", "range", "name", "target", "epoch", "failed_rule")}).cache()
 
 
 def test_quality_statistics(docs):
@@ -112,7 +112,7 @@ def test_mix_is_in_training_order_and_cuts_texts(docs):
     whole = {r.doc_id: r.text for r in docs.collect()}
     words = 0
     for r in mixed.collect():
-        assert whole[r.doc_id].startswith(r.text)
+        assert whole[r.doc_id].startswith(r.text) and (r.key, r["size"], r.epoch) == ("extra",) * 3
         assert r.text == whole[r.doc_id] or r.n_chars == len(r.text)
         words += len(WORD.findall(r.text))
     assert words == sum(r.taken for r in mixing.assign(docs).collect())

@@ -18,7 +18,8 @@ so a source that holds a third of all rows is spread over all of them.
 Defined results for odd input: a null text has no words, and documents without words have size and
 taken 0 and no position; a null ``doc_id`` hashes like an empty one; repeated rows are documents of
 their own; ties in the hash are ordered by id, size and a hash of the text; an empty table gives an
-empty result; an input column named like an added one is replaced.
+empty result; an input column named like one that :func:`assign` adds is replaced, in :func:`mix`
+all input columns come back (their names must not begin with ``_mix_``).
 """
 
 from __future__ import annotations
@@ -85,54 +86,63 @@ def _overlap(start: Column, size: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(start + size, end) - start)
 
 
-def assign(docs: DataFrame, seed: int = 0, schedules=SCHEDULES, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``docs`` with ``size, source_size, target, taken, take_1, take_2, position_1, position_2``.
-
-    ``docs`` needs ``doc_id``, ``source`` and either ``text`` or its ``size`` and ``tie``.
-    """
+def _place(docs: DataFrame, seed: int, schedules, rows_per_range: int) -> DataFrame:
+    """``docs``, whose ``_mix_size`` and ``_mix_tie`` are there or come from the text, with all other ``_mix_`` columns."""
     bits = max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_range)))
-    keyed = docs if "size" in docs.columns and "tie" in docs.columns else sized(docs)
-    keyed = keyed.withColumn("key", order_key(seed)).withColumn("range", F.shiftright("key", 4 * DIGITS - bits))
+    keyed = docs if "_mix_size" in docs.columns else sized(docs)
+    keyed = keyed.withColumn("_mix_key", order_key(seed)).withColumn("_mix_range", F.shiftright("_mix_key", 4 * DIGITS - bits))
     named = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    keyed = keyed.withColumn("name", named)
-
-    ranges = materialize(keyed.groupBy("name", "source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
-    wanted = targets(ranges.groupBy("name", "source").agg(F.sum("range_size").alias("source_size")).select("source", "source_size"))
-    wanted = wanted.select(named.alias("name"), "source_size", "place", "target")
-    earlier = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranges.select("name", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("base")).join(wanted, "name")
-
-    within = Window.partitionBy("name", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.join(bases, ["name", "range"]).withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size"))
-    start, size, whole = F.col("start"), F.col("size"), F.col("source_size")
-    quota = F.floor("target").cast("long")
-    takes = placed.withColumn("take_1", _overlap(start, size, F.least(quota, whole))).withColumn("take_2", _overlap(start, size, quota - whole))
+    keyed = keyed.withColumn("_mix_name", named)
+
+    group = ["_mix_name", "_mix_range"]
+    ranges = materialize(keyed.groupBy("source", *group).agg(F.sum("_mix_size").alias("range_size")), "mix-ranges")
+    wanted = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
+    wanted = wanted.select(named.alias("_mix_name"), *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "place", "target")))
+    earlier = Window.partitionBy("_mix_name").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.select(*group, F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("_mix_base")).join(wanted, "_mix_name")
+
+    order = ("_mix_key", "doc_id", "_mix_size", "_mix_tie")
+    within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = keyed.join(bases, group).withColumn("_mix_start", F.col("_mix_base") + F.sum("_mix_size").over(within) - F.col("_mix_size"))
+    start, size, whole = F.col("_mix_start"), F.col("_mix_size"), F.col("_mix_source_size")
+    quota = F.floor("_mix_target").cast("long")
+    takes = placed.withColumns({"_mix_take_1": _overlap(start, size, F.least(quota, whole)), "_mix_take_2": _overlap(start, size, quota - whole)})
 
     def position(take: str, offset: Column) -> Column:
-        share = (offset + F.col(take) / 2) / F.col("target")
+        share = (offset + F.col(take) / 2) / F.col("_mix_target")
         by_place = F.lit(None).cast("double")
         for place in range(len(schedules)):
-            by_place = F.when(F.col("place") == place, time_of(share, schedules[place])).otherwise(by_place)
+            by_place = F.when(F.col("_mix_place") == place, time_of(share, schedules[place])).otherwise(by_place)
         return F.when(F.col(take) > 0, by_place)
 
-    return takes.select(
-        *(c for c in docs.columns if c not in {"size", "tie", "source_size", "target", "taken", "take_1", "take_2", "position_1", "position_2"}),
-        "size", "source_size", "target", "key",
-        (F.col("take_1") + F.col("take_2")).alias("taken"), "take_1", "take_2",
-        position("take_1", start).alias("position_1"), position("take_2", whole + start).alias("position_2"),
-    )
+    return takes.withColumns(
+        {
+            "_mix_taken": F.col("_mix_take_1") + F.col("_mix_take_2"),
+            "_mix_position_1": position("_mix_take_1", start),
+            "_mix_position_2": position("_mix_take_2", whole + start),
+        }
+    )
+
+
+ADDED = ("size", "source_size", "target", "taken", "take_1", "take_2", "position_1", "position_2")
+
+
+def assign(docs: DataFrame, seed: int = 0, schedules=SCHEDULES, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``docs`` with ``size, source_size, target, taken``, and words and position of either epoch (``take_1`` ...)."""
+    found = _place(docs, seed, schedules, rows_per_range)
+    return found.select(*(c for c in docs.columns if c not in ADDED), *(F.col(f"_mix_{c}").alias(c) for c in ADDED))
 
 
 def sized(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.withColumn("size", count_words(text)).withColumn("tie", F.xxhash64(text))
+    return docs.withColumns({"_mix_size": count_words(text), "_mix_tie": F.xxhash64(text)})
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """What the mix takes of every document. The text is read once; the rest works on ids and sizes."""
-    slim = materialize(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "tie"), "mix-sizes")
-    found = assign(slim, seed)
-    return found.select("doc_id", "size", "source_size", "target", "taken", "position_1", "position_2")
+    slim = materialize(sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
+    found = _place(slim, seed, SCHEDULES, ROWS_PER_RANGE)
+    return found.select("doc_id", *(F.col(f"_mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "position_1", "position_2")))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -156,12 +166,13 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     ``n_chars``, where there is one, follows the text of a document that the target cuts.
     """
-    found = assign(docs, seed)
-    epochs = F.array(*(F.struct(F.col(f"take_{k}").alias("take"), F.col(f"position_{k}").alias("position")) for k in (1, 2)))
-    rows = found.withColumn("epoch", F.explode(F.filter(epochs, lambda e: e["take"] > 0)))
-    cut = F.col("epoch.take") < F.col("size")
-    rows = rows.withColumn("was_cut", cut).withColumn("text", F.when(F.col("was_cut"), first_words(F.col("text"), F.col("epoch.take"))).otherwise(F.col("text")))
+    found = _place(docs, seed, SCHEDULES, ROWS_PER_RANGE)
+    epochs = F.array(*(F.struct(F.col(f"_mix_take_{k}").alias("take"), F.col(f"_mix_position_{k}").alias("position")) for k in (1, 2)))
+    rows = found.withColumn("_mix_epoch", F.explode(F.filter(epochs, lambda e: e["take"] > 0)))
+    take = F.col("_mix_epoch.take")
+    rows = rows.withColumn("_mix_cut", take < F.col("_mix_size"))
+    rows = rows.withColumn("text", F.when(F.col("_mix_cut"), first_words(F.col("text"), take)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    order = ("epoch.position", "key", "epoch.take")
+        rows = rows.withColumn("n_chars", F.when(F.col("_mix_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    order = ("_mix_epoch.position", "_mix_key", "_mix_epoch.take")
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -260,11 +260,11 @@ def report(docs: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) ->
 def deduplicate(docs: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) -> DataFrame:
     """The first document (smallest id) of every component, with the columns of ``docs``."""
     prints = materialize(fingerprints(docs), "prints")
-    best = classes(prints, budget, pair_size).select("best").distinct().select(F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie"))
+    best = classes(prints, budget, pair_size).select("best").distinct().select(F.col("best.doc_id").alias("_best_id"), F.col("best.tie").alias("_best_tie"))
     best = materialize(best, "kept-ids")
-    marked = docs.withColumn("best_tie", tie())
-    kept = marked.join(best, marked["doc_id"].eqNullSafe(best["best_id"]) & (marked["best_tie"] == best["best_tie"]), "left_semi")
+    marked = docs.withColumn("_tie", tie())
+    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_best_id")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
     again = prints.groupBy("doc_id", "tie").count().where(F.col("count") > 1)
     if not again.isEmpty():  # whole rows given more than once
-        kept = kept.dropDuplicates(["doc_id", "best_tie"])
+        kept = kept.dropDuplicates(["doc_id", "_tie"])
     return kept.select(*docs.columns)
