@@ -122,3 +122,21 @@ def test_conflicts(spark):
     active = spark.createDataFrame([(7,), (3,)], "read_ts long")
     assert rows_of(conflicts.low_water(active, 9)) == [(3,)]
     assert rows_of(conflicts.low_water(active.limit(0), 9)) == [(9,)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_ship_one_version_per_key(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 AS k", "id AS ts", "id % 5 = 0 AS is_tombstone", "id AS value").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = plan_of(versions.as_of(df, V, 500, lower=2))
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+    assert "LessThanOrEqual(ts,500)" in plan and "GreaterThanOrEqual(k,2)" in plan
+    kept = plan_of(versions.gc_keep(df, V, 500))
+    assert kept.count("Exchange") == 1 and "GreaterThan(ts,500)" in kept
+    assert "Exchange" not in plan_of(versions.history(df, V, 3))
+    assert "TakeOrderedAndProject" in plan_of(versions.point_get(df, V, 3))
+    lookup = plan_of(versions.as_of_lookup(df.selectExpr("k", "ts AS at"), df, V, "at"))
+    assert "Join" not in lookup and lookup.count("Exchange") == 1

@@ -103,9 +103,8 @@ def overlay(base: DataFrame, top: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def apply_writes(snapshot: DataFrame, writes: DataFrame, v: Versions) -> DataFrame:
     """A snapshot with a transaction's writes on top (one per key); tombstones erase."""
-    return overlay(snapshot, live(writes, v).select(*snapshot.columns), v.keys).join(
-        writes.where(v.tombstone).select(*v.keys), list(v.keys), "left_anti"
-    )
+    untouched = snapshot.join(writes.select(*v.keys), list(v.keys), "left_anti")
+    return untouched.unionByName(live(writes, v).select(*snapshot.columns))
 
 
 def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -117,19 +116,15 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> Dat
     return both.withColumn("kind", kind).where((F.col("kind") != "changed") | ~F.col("old_value").eqNullSafe(F.col("new_value"))).drop("_a", "_b")
 
 
-def _old_rank(v: Versions, low_water: int) -> Column:
-    """Rank among a key's versions at or below the low-water mark, newest first (other versions rank among themselves)."""
-    return F.row_number().over(Window.partitionBy(*v.keys, F.col(v.ts) <= low_water).orderBy(*v.newest_first))
-
-
 def gc_keep(df: DataFrame, v: Versions, low_water: int, bottom: bool = False) -> DataFrame:
     """Versions that a reader at or above ``low_water`` can see: all above it and the newest at or below it.
 
     At the bottom, where nothing older lies beneath, that newest one goes too if it is a tombstone.
+    Versions above the mark are not shuffled; of those below every task ships one per key.
     """
-    old = F.col(v.ts) <= low_water
-    kept = df.withColumn("_rank", _old_rank(v, low_water)).where(~old | (F.col("_rank") == 1)).drop("_rank")
-    return kept.where(~(old & F.col(v.tombstone))) if bottom else kept
+    above = df.where(F.col(v.ts) > low_water)
+    below = newest(df, v, low_water)
+    return above.unionByName(live(below, v) if bottom else below)
 
 
 def gc_obsolete(df: DataFrame, v: Versions, low_water: int) -> DataFrame:
