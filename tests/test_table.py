@@ -50,7 +50,7 @@ def test_deletes_hide_older_runs(make):
 
 def test_bulk_write_compaction_and_reopen(make, spark):
     t = make()
-    t.write(spark.range(2000).select(F.format_string("key%04d", "id").alias("k"), F.concat(F.lit("value"), "id").alias("v")))
+    t.write(spark.range(2000).select(F.format_string("key%04d", "id").alias("k"), F.concat(F.lit("value"), "id").alias("v")), unique=True)
     t.compact(full=True)
     u = Table.open(spark, t.path)
     assert all(u.get(f"key{i:04d}").v == f"value{i}" for i in range(0, 2000, 500))

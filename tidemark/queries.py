@@ -169,7 +169,7 @@ def _stored_log(spark, d, **options) -> Table:
     rows = change_log(spark, d)
     for part in range(4):
         mine = rows.where(F.floor(F.col("ts") / 2500) % 4 == part)
-        table.write(mine, tombstone=F.col("is_tombstone"), ts=F.col("ts"))
+        table.write(mine, tombstone=F.col("is_tombstone"), ts=F.col("ts"), unique=True)
     return table
 
 

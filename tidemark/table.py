@@ -262,12 +262,13 @@ class Table:
         if not self._buffer:
             return None
         writes, self._buffer = self._buffer, {}
-        return self.commit(self._rows(writes), files=1)
+        return self.commit(self._rows(writes), files=1, unique=True)
 
-    def write(self, rows: DataFrame, tombstone: Column | None = None, ts: Column | None = None, info: dict | None = None) -> State:
+    def write(self, rows: DataFrame, tombstone: Column | None = None, ts: Column | None = None, info: dict | None = None, unique: bool = False) -> State:
         """Commit a DataFrame of keys and values at one new timestamp, or at given ones (``ts``).
 
-        Rows with a true ``tombstone`` are deletes. Of equal keys (and timestamps) any one row wins.
+        Rows with a true ``tombstone`` are deletes. Of equal keys (and timestamps) any one row wins;
+        ``unique`` promises that there are none and saves the exchange that looks for them.
         """
         flag = F.lit(False) if tombstone is None else F.coalesce(tombstone, F.lit(False))
         blank = [F.when(~F.col(TOMBSTONE), F.col(c)).alias(c) if c in rows.columns else F.lit(None).cast(self.value_schema[c].dataType).alias(c) for c in self.values]
@@ -275,9 +276,9 @@ class Table:
         if ts is not None:
             given = given.withColumn(TS, ts.cast("long"))
         plain = given.select(*(F.col(c).cast(self.key_schema[c].dataType).alias(c) for c in self.keys), TOMBSTONE, POS, *([TS] if ts is not None else []), *blank)
-        return self.commit(plain, info=info)
+        return self.commit(plain, info=info, unique=unique)
 
-    def commit(self, rows: DataFrame, files: int | None = None, validate: Callable[[State], None] | None = None, info: dict | None = None) -> State:
+    def commit(self, rows: DataFrame, files: int | None = None, validate: Callable[[State], None] | None = None, info: dict | None = None, unique: bool = False) -> State:
         """Write rows as new runs and publish them at the next timestamp.
 
         ``validate`` sees the state that the commit would follow and may raise. Who loses the race for
@@ -285,7 +286,7 @@ class Table:
         """
         state = self.state()
         stamped = TS in rows.columns
-        source = versions.first_per_key(rows, [*self.keys, TS] if stamped else self.keys, [F.desc(POS)])
+        source = rows if unique else versions.first_per_key(rows, [*self.keys, TS] if stamped else self.keys, [F.desc(POS)])
         lost: list[str] = []
         while True:
             if validate is not None:

@@ -115,7 +115,7 @@ class Transaction:
         try:
             if self.writes:
                 check = self._validate if self.isolation == "serializable" else None
-                self.commit_ts = self.table.commit(self.table._rows(self.writes), files=1, validate=check).ts
+                self.commit_ts = self.table.commit(self.table._rows(self.writes), files=1, validate=check, unique=True).ts
         except Conflict:
             self._end(Status.ABORTED)
             return False
