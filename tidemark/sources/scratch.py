@@ -1,15 +1,31 @@
-"""Where intermediate tables go: a folder that the driver and all executors see."""
+"""Where intermediate tables go: a folder that the driver and all executors see.
+
+What an application writes there is read lazily, so it stays until Python ends, and then goes.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_removed_at_exit: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    parts = urlsplit(folder)
+    if parts.scheme in {"", "file"}:
+        shutil.rmtree(parts.path, ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # the session may be over
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = context._jsc.sc().getCheckpointDir()
         named = set_before.get() if set_before.isDefined() else None
     if named:
-        return f"{named.rstrip('/')}/{context.applicationId}"
+        folder = f"{named.rstrip('/')}/{context.applicationId}"
+        if folder not in _removed_at_exit:
+            _removed_at_exit.add(folder)
+            atexit.register(_remove, spark, folder)
+        return folder
     master = context.master or ""
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
