@@ -14,14 +14,19 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
-_own: dict[str, str] = {}
-_removed_at_exit: set[str] = set()
+_folders: dict[str, str] = {}
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the file system that Spark takes it from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    parts = urlsplit(folder)
-    if parts.scheme in {"", "file"}:
-        shutil.rmtree(parts.path, ignore_errors=True)
+    if folder.startswith("file:"):
+        shutil.rmtree(urlsplit(folder).path, ignore_errors=True)
         return
     with contextlib.suppress(Exception):  # the session may be over
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -32,27 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` (or ``setCheckpointDir``) names, by application.
 
     Only a local master, where driver and executors are one process, may go without; it gets a
-    temporary folder that goes when Python ends.
+    temporary folder.
     """
     context = spark.sparkContext
+    if context.applicationId in _folders:
+        return _folders[context.applicationId]
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         set_before = context._jsc.sc().getCheckpointDir()
         named = set_before.get() if set_before.isDefined() else None
-    if named:
-        folder = f"{named.rstrip('/')}/{context.applicationId}"
-        if folder not in _removed_at_exit:
-            _removed_at_exit.add(folder)
-            atexit.register(_remove, spark, folder)
-        return folder
-    master = context.master or ""
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    if context.applicationId not in _own:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        _own[context.applicationId] = folder
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{_own[context.applicationId]}"
+    if not named:
+        master = context.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        named = tempfile.mkdtemp(prefix="tidemark-")
+    folder = _qualified(spark, f"{named.rstrip('/')}/{context.applicationId}")
+    _folders[context.applicationId] = folder
+    atexit.register(_remove, spark, folder)
+    return folder
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
