@@ -12,8 +12,8 @@ The documents of a source come in the order of a keyed hash of their id. A secon
 that order. The document at which the target is reached is cut after its last word taken.
 
 Offsets are two-pass prefix sums: sizes by (source, hash range), then running sums of the ranges
-of a source and of the documents in a range. The number of ranges follows the number of documents,
-so a source that holds a third of all rows is spread over all of them.
+of a source (in two levels) and of the documents in a range. The number of ranges follows the number
+of documents, so a source that holds a third of all rows is spread over all of them.
 
 Defined results for odd input: a null text has no words, and documents without words have size and
 taken 0 and no position; a null ``doc_id`` hashes like an empty one; repeated rows are documents of
@@ -36,7 +36,7 @@ BUDGET = 1.5
 MAX_EPOCHS = 2
 #: By a source's place in the weights: (time, weight) knots. The first fades out, the last in.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 512
 #: Hash digits (hexadecimal) that order the documents of a source.
 DIGITS = 15
 
@@ -86,6 +86,19 @@ def _overlap(start: Column, size: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(start + size, end) - start)
 
 
+def _running(ranges: DataFrame) -> DataFrame:
+    """What precedes each range within its source: over coarse ranges, and over the ranges in one of them."""
+
+    def before(keys: list[str], order: str) -> Column:
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("range_size").over(window), F.lit(0))
+
+    coarse = ranges.groupBy("_mix_name", "coarse").agg(F.sum("range_size").alias("range_size"))
+    coarse = coarse.select("_mix_name", "coarse", before(["_mix_name"], "coarse").alias("above"))
+    fine = ranges.select("_mix_name", "coarse", "_mix_range", before(["_mix_name", "coarse"], "_mix_range").alias("within"))
+    return fine.join(coarse, ["_mix_name", "coarse"]).select("_mix_name", "_mix_range", (F.col("above") + F.col("within")).alias("_mix_base"))
+
+
 def _place(docs: DataFrame, seed: int, schedules, rows_per_range: int) -> DataFrame:
     """``docs``, whose ``_mix_size`` and ``_mix_tie`` are there or come from the text, with all other ``_mix_`` columns."""
     bits = max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_range)))
@@ -98,8 +111,7 @@ def _place(docs: DataFrame, seed: int, schedules, rows_per_range: int) -> DataFr
     ranges = materialize(keyed.groupBy("source", *group).agg(F.sum("_mix_size").alias("range_size")), "mix-ranges")
     wanted = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     wanted = wanted.select(named.alias("_mix_name"), *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "place", "target")))
-    earlier = Window.partitionBy("_mix_name").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranges.select(*group, F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("_mix_base")).join(wanted, "_mix_name")
+    bases = _running(ranges.withColumn("coarse", F.shiftright("_mix_range", bits // 2))).join(wanted, "_mix_name")
 
     order = ("_mix_key", "doc_id", "_mix_size", "_mix_tie")
     within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
