@@ -51,6 +51,11 @@ def test_odd_pages(page, text):
     assert [t for t in main_of(page)] == text
 
 
+def test_deep_and_unbalanced_pages_take_linear_time():
+    for page in ("<b>" * 20_000 + "</i>" * 20_000 + "x", "<div>" * 20_000 + "x", "<p>" * 20_000 + "x", "<article>" + "</p>" * 20_000 + "x", "<article " + "<" * 200_000):
+        assert len(extract.blocks(page)) <= 1
+
+
 def brute_covered(streams):
     """Positions that lie in a window of RUN tokens that another page has too."""
     where = {}
