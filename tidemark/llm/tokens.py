@@ -16,26 +16,38 @@ import re
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Ids that a vocabulary may have beyond its ranks.
+SPECIAL = 256
 #: Characters on which both encoders are known to split alike.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-\xac\xae-ɏ]*")
 
 
 class Encoder:
-    def __init__(self, path: str):
-        import public_tokenizers
-        from tokenizers import Tokenizer
+    """``dtype``: two bytes for each id where ids fit (a larger id raises an error)."""
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.slow.get_vocab_size() <= 1 << 16 else "<u4")
-        self.fast = None
+    def __init__(self, path: str):
+        self.path, self.fast = path, None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
+            import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+            size = len(pairs) + SPECIAL
+        else:
+            size = self.slow.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+    @functools.cached_property
+    def slow(self):
+        """The vocabulary's own tokenizer; most workers never need it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and _PLAIN.fullmatch(text):
