@@ -23,9 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import SPACES, WORD, count_words, let, text_or_empty
+from tidemark.llm._shared import WORD, count_words, let, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
+SPACE = r"\x20\x09-\x0D"
 WINDOW = 3
 #: Rows of the sample that costs and selectivities are estimated on.
 SAMPLE_ROWS = 500
@@ -37,11 +38,11 @@ def n_words(text: Column) -> Column:
 
 def word_chars(text: Column) -> Column:
     """Code points in words."""
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+    return F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long")
 
 
 def n_lines(text: Column) -> Column:
@@ -50,7 +51,7 @@ def n_lines(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "")
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
 
 
 def n_dup_lines(text: Column) -> Column:
