@@ -1,4 +1,4 @@
-"""Chat formatting, quality rules and mixing: against brute force on small odd inputs, and against their SQL."""
+"""Chat formatting, quality rules and mixing against brute force on small odd inputs; all SQL oracles."""
 
 import os
 import re

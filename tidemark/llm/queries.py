@@ -57,7 +57,7 @@ def op9_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(table(spark, sf_dir, "documents"))
+    return licenses.report(table(spark, sf_dir, "documents")).withColumns({"score": F.round("score", 6), "line": F.col("line").cast("string")})
 
 
 QUERIES: dict[str, Query] = {

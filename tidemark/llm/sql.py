@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.licenses import LEAST, LEAST_TERMS, TEMPLATES
+
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 OP2 = """
@@ -92,7 +94,58 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+_VALUES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+OP10 = f"""
+WITH templates(tid, name, t) AS (VALUES {_VALUES}
+), tterms AS (
+  SELECT tid, name, term, count(*) AS n FROM (SELECT tid, name, unnest({_TERMS.format("t")}) AS term FROM templates) GROUP BY ALL
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         coalesce(source, '_') || '/' || coalesce(lang, '_') AS directory, coalesce(source, '_') AS parent FROM documents
+), lines AS (
+  SELECT rid, unnest(range(len(parts))) AS k, unnest(parts) AS line FROM (SELECT rid, string_split(t, chr(10)) AS parts FROM d)
+), pieces AS (
+  SELECT rid, k, {_TERMS.format("line")} AS ts FROM lines UNION ALL SELECT rid, -1, {_TERMS.format("t")} FROM d
+), terms AS (
+  SELECT rid, k, term, count(*) AS n FROM (SELECT rid, k, unnest(ts) AS term FROM pieces) GROUP BY ALL
+), total AS (
+  SELECT count(*) AS docs FROM d
+), idf AS (
+  SELECT term, ln((1 + docs) / (1 + coalesce(n, 0))) + 1 AS w
+  FROM (SELECT DISTINCT term FROM tterms) LEFT JOIN (SELECT term, count(*) AS n FROM terms WHERE k = -1 GROUP BY term) USING (term), total
+), tweights AS (
+  SELECT tid, name, term, n * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY tid)) AS v FROM tterms JOIN idf USING (term)
+), weights AS (
+  SELECT rid, k, term, n * coalesce(w, ln(1 + docs) + 1) AS w FROM terms LEFT JOIN idf USING (term), total
+), norms AS (
+  SELECT rid, k, sqrt(sum(w * w)) AS norm FROM weights GROUP BY ALL
+), cosines AS (
+  SELECT rid, k, name, round(sum(w * v) / any_value(norm), 9) AS score
+  FROM weights JOIN tweights USING (term) JOIN norms USING (rid, k) GROUP BY rid, k, tid, name HAVING count(*) >= {LEAST_TERMS}
+), matches AS (
+  SELECT * FROM cosines WHERE score >= {LEAST}
+), first_lines AS (
+  SELECT rid, min(k) AS k FROM terms WHERE k >= 0 GROUP BY rid
+), files AS (
+  SELECT DISTINCT m.rid FROM matches m LEFT JOIN first_lines f USING (rid) WHERE m.k = -1 OR m.k = f.k
+), own AS (
+  SELECT rid, name, least(score, 1.0) AS score, k FROM matches
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, name, k = -1, k) = 1
+), votes AS (
+  SELECT directory, parent, name, count(*) AS n FROM d JOIN own USING (rid) JOIN files USING (rid) GROUP BY ALL
+), given AS (
+  SELECT directory, name FROM votes QUALIFY row_number() OVER (PARTITION BY directory ORDER BY n DESC, name) = 1
+)
+SELECT doc_id, directory || '/' || coalesce(doc_id::VARCHAR, '_') || '.txt' AS path, own.name AS own_license,
+       round(own.score, 6) AS score, own.k::VARCHAR AS line, coalesce(own.name, given.name) AS license,
+       CASE WHEN own.name IS NULL AND given.name IS NOT NULL THEN directory END AS inherited_from
+FROM d LEFT JOIN own USING (rid) LEFT JOIN given USING (directory)
+"""
+
 SQL: dict[str, str] = {
+    "op10_license_scan": OP10,
     "op2_preference_formatting": OP2,
     "op5_quality_rules": OP5,
     "op6_source_mixing": OP6,
