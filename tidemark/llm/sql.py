@@ -6,6 +6,23 @@ from tidemark.llm.licenses import LEAST, LEAST_TERMS, TEMPLATES
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
+OP1 = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), sizes AS (
+  SELECT len(v) AS n FROM good GROUP BY 1 ORDER BY count(*) DESC, n LIMIT 1
+), vectors AS (
+  SELECT good.* FROM good, sizes WHERE len(v) = n
+), queries AS (
+  SELECT vec_id AS query_id, min(v) AS q FROM vectors WHERE vec_id % 50 = 0 GROUP BY 1
+), scored AS (
+  SELECT query_id, vec_id, list_dot_product(q, v)::BIGINT AS score FROM queries, vectors WHERE vec_id <> query_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 OP2 = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
@@ -145,6 +162,7 @@ FROM d LEFT JOIN own USING (rid) LEFT JOIN given USING (directory)
 """
 
 SQL: dict[str, str] = {
+    "op1_exact_top_k": OP1,
     "op10_license_scan": OP10,
     "op2_preference_formatting": OP2,
     "op5_quality_rules": OP5,
