@@ -92,7 +92,9 @@ def test_shards_round_trip_and_resume(docs, tmp_path):
         assert r.byte_offset == (r.slot % rows) * length * 2 and r.shard == r.slot // rows
     assert (shards.read_slots(out, 30, 50) == got[30:80]).all() and len(shards.read_slots(out, 10**6, 5)) == 0
     (tmp_path / "shards" / "shard-00000001.bin").unlink()
+    (tmp_path / "shards" / "_writing-00000001-7").write_bytes(b"lost")
     again = shards.write(stream, out, length=length, shard_rows=rows).toPandas().sort_values("slot").reset_index(drop=True)
+    assert not list((tmp_path / "shards").glob("_writing*"))
     assert again.equals(index) and (shards.read_slots(out, 0, 10**9) == got).all()
     with pytest.raises(ValueError):
         shards.write(stream, out, length=length, shard_rows=rows, key=1)

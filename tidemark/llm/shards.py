@@ -230,6 +230,9 @@ def write(stream: Stream, out: str, key: int = KEY, length: int = LENGTH, shard_
     blocks = map_arrow(stream.table, deal, "shard int, head binary, data binary")
     dealt = blocks.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard")
     index = materialize(map_arrow(dealt, fill, INDEX), "shard-index")
+    for left in fs.get_file_info(pyarrow.fs.FileSelector(root)):  # by tasks that were lost while they wrote
+        if left.base_name.startswith("_writing-"):
+            fs.delete_file(left.path)
     if not done:
         return index
     old = spark.createDataFrame([(k,) for k in sorted(done)], "id int").repartition(min(len(done), 1000))
