@@ -5,6 +5,10 @@ TF-IDF vectors, whose document frequencies are counted over all documents, and t
 line is a header or notice, a whole text a licence file. The best match at or above ``least`` is
 the document's own licence.
 
+The frequencies of the templates' terms come first. A line with further words could only match if
+it does so with them as light as words of every document; of those lines, few, the words' own
+frequencies are a grouped aggregation over all documents, joined to the lines before they are scored.
+
 A directory takes the licence that most of its licence files have. A document without a licence of
 its own inherits from the nearest directory above it that has one. Directories, of which there are
 far fewer than documents, are joined to their ancestors by path; documents are joined to the result
@@ -34,6 +38,8 @@ from tidemark.llm._shared import map_arrow, materialize
 LEAST = 0.7
 #: Different terms that a match has in common with its template: a stray word is no notice.
 LEAST_TERMS = 3
+#: Terms that a task counts before it hands them on.
+TERMS_HELD = 1 << 18
 
 #: Short public notices of common licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -79,7 +85,7 @@ class Matcher:
     """Sparse cosine to all templates at once, through an inverted index of their terms."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[str, int], documents: int, least: float):
-        self.least, self.names = least, [name for name, _ in templates]
+        self.least, self.names, self.documents = least, [name for name, _ in templates], documents
         self.idf = {t: math.log((1 + documents) / (1 + n)) + 1 for t, n in frequency.items()}
         self.unseen = math.log(1 + documents) + 1
         self.index: dict[str, list[tuple[int, float]]] = {}
@@ -89,13 +95,20 @@ class Matcher:
             for t, w in weight.items():
                 self.index.setdefault(t, []).append((k, w / norm))
 
-    def best(self, found: Counter) -> tuple[float, str] | None:
-        """Best cosine and its licence, if at least ``least``. Terms outside the templates weigh as much as the rarest."""
+    def weight(self, n: int) -> float:
+        """Of a term that ``n`` documents hold."""
+        return math.log((1 + self.documents) / (1 + n)) + 1
+
+    def best(self, found: Counter, others: dict[str, float] | None = None, unseen: float | None = None) -> tuple[float, str] | None:
+        """Best cosine and its licence, if at least ``least``. Terms outside the templates weigh what ``others`` says, else ``unseen``, else as much as the rarest."""
+        if len(found.keys() & self.idf.keys()) < LEAST_TERMS:
+            return None
+        others, unseen = others or {}, self.unseen if unseen is None else unseen
         dot: dict[int, float] = {}
         shared: Counter = Counter()
         square = 0.0
         for t, n in found.items():
-            w = n * self.idf.get(t, self.unseen)
+            w = n * (self.idf[t] if t in self.idf else others.get(t, unseen))
             square += w * w
             for k, v in self.index.get(t, ()):
                 dot[k] = dot.get(k, 0.0) + w * v
@@ -107,7 +120,19 @@ class Matcher:
         score = -score / math.sqrt(square)
         return (score, name) if score >= self.least else None
 
-    def scan(self, text: str) -> tuple[str | None, float | None, int | None, bool]:
+    def open_terms(self, text: str) -> list[str] | None:
+        """The terms outside the templates on whose frequencies a match depends: of the pieces that match where such terms weigh least. None: no piece does."""
+        wanted: set[str] = set()
+        whole: Counter = Counter()
+        for found in (Counter(terms(line)) for line in text.split("\n")):
+            whole.update(found)
+            if found and self.best(found, unseen=1.0):
+                wanted.update(found)
+        if whole and self.best(whole, unseen=1.0):
+            wanted.update(whole)
+        return sorted(wanted - self.idf.keys()) if wanted else None
+
+    def scan(self, text: str, others: dict[str, float] | None = None) -> tuple[str | None, float | None, int | None, bool]:
         """Licence, cosine, line (from 0; -1: the whole text), and whether the text is headed by a notice or is one as a whole."""
         best: tuple[float, str, int] | None = None
         whole: Counter = Counter()
@@ -118,17 +143,19 @@ class Matcher:
                 continue
             whole.update(found)
             first = k if first is None else first
-            got = self.best(found)
+            got = self.best(found, others)
             if got and k == first:
                 headed = got
             if got and (best is None or (-got[0], got[1]) < (-best[0], best[1])):
                 best = (*got, k)
-        got = self.best(whole) if whole else None
+        got = self.best(whole, others) if whole else None
         if got and (best is None or (-got[0], got[1]) < (-best[0], best[1])):
             best = (*got, -1)
         if best is None:
             return None, None, None, False
-        return best[1], min(best[0], 1.0), best[2], bool(headed or got)
+        # A notice further down makes a text a licence file only if what is around it does not count even as rare words.
+        as_whole = got and (best[2] == -1 or self.best(whole))
+        return best[1], min(best[0], 1.0), best[2], bool(headed or as_whole)
 
 
 def _count(batches, known: frozenset[str]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +168,68 @@ def _count(batches, known: frozenset[str]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
 
+def _count_all(batches) -> Iterator[pa.RecordBatch]:
+    """How many documents hold each term, in parts that fit in memory."""
+    n: Counter = Counter()
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            n.update(set(terms(text or "")))
+            if len(n) > TERMS_HELD:
+                yield part()
+                n.clear()
+    yield part()
+
+
+FOUND = "doc_id long, directory string, path string, own_license string, score double, line int, is_license_file boolean"
+
+
+def _rows(batch: pa.RecordBatch, found: list, *more: tuple[str, pa.Array]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.float64(), pa.int32(), pa.bool_())
+    columns = [pa.array([f[c] for f in found], kind) for c, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("directory"), batch.column("path"), *columns, *(c for _, c in more)],
+        names=["doc_id", "directory", "path", "own_license", "score", "line", "is_license_file", *(n for n, _ in more)],
+    )
+
+
 def _scan(batches, matcher: Matcher) -> Iterator[pa.RecordBatch]:
+    """Documents whose matches depend on terms outside the templates come with those and their text, undecided."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            batch = whole.slice(k, 256)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            wanted = [matcher.open_terms(t) for t in texts]
+            found = [matcher.scan(t) if w == [] else (None, None, None, False) for t, w in zip(texts, wanted, strict=True)]
+            held = pa.array([t if w else None for t, w in zip(texts, wanted, strict=True)], pa.string())
+            yield _rows(batch, found, ("open_text", held), ("open_terms", pa.array(wanted, pa.list_(pa.string()))))
+
+
+def _decide(batches, matcher: Matcher) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 256):
             batch = whole.slice(k, 256)
-            found = [matcher.scan(t or "") for t in batch.column("text").to_pylist()]
-            kinds = (pa.string(), pa.float64(), pa.int32(), pa.bool_())
-            columns = [pa.array([f[c] for f in found], kind) for c, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("directory"), batch.column("path"), *columns],
-                names=["doc_id", "directory", "path", "own_license", "score", "line", "is_license_file"],
-            )
+            others = [{w["term"]: matcher.weight(w["n"]) for w in ws} for ws in batch.column("weights").to_pylist()]
+            yield _rows(batch, [matcher.scan(t, o) for t, o in zip(batch.column("open_text").to_pylist(), others, strict=True)])
+
+
+def found_licenses(placed: DataFrame, matcher: Matcher) -> DataFrame:
+    """Every document's own licence: the columns of ``FOUND``."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    found = materialize(map_arrow(placed, functools.partial(_scan, matcher=matcher), FOUND + ", open_text string, open_terms array<string>"), "licenses")
+    done, opened = found.where(F.col("open_text").isNull()).select(*names), found.where(F.col("open_text").isNotNull())
+    if opened.isEmpty():
+        return done
+    opened = materialize(opened.withColumn("at", F.monotonically_increasing_id()), "open-licenses")
+    wanted = opened.select("at", F.explode("open_terms").alias("term"))
+    counted = map_arrow(placed.select("text"), _count_all, "term string, n long")
+    counted = materialize(counted.groupBy("term").agg(F.sum("n").alias("n")), "term-frequencies")
+    weights = wanted.join(counted, "term").groupBy("at").agg(F.collect_list(F.struct("term", "n")).alias("weights"))
+    decided = map_arrow(opened.select("at", "doc_id", "directory", "path", "open_text").join(weights, "at"), functools.partial(_decide, matcher=matcher), FOUND)
+    return materialize(done.unionByName(decided), "decided-licenses")
 
 
 def matcher(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Matcher:
@@ -170,8 +248,7 @@ def scan(docs: DataFrame, directory: Column, name: Column, templates=TEMPLATES,
     document's own licence or the inherited one; ``inherited_from`` is the directory that gave it.
     """
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), directory.alias("directory"), F.concat_ws("/", directory, name).alias("path"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, directory string, path string, own_license string, score double, line int, is_license_file boolean"
-    found = materialize(map_arrow(placed, functools.partial(_scan, matcher=matcher(docs, templates, least)), schema), "licenses")
+    found = found_licenses(placed, matcher(docs, templates, least))
 
     votes = found.where("is_license_file").groupBy("directory", "own_license").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("n"), "own_license"))
