@@ -186,3 +186,12 @@ def test_oracles(spark, name):
     assert columns == sorted(given)
     want = sorted(repr(tuple(r[given.index(c)] for c in columns)) for r in cursor.fetchall())
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want
+
+
+def test_mixing_query_comes_in_training_order(spark):
+    sf = "/root/testdata/sf0.001"
+    query = QUERIES["op6_source_mixing"](spark, sf)
+    at = {r.doc_id: r.position_1 for r in mixing.assign(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    got = [at[r.doc_id] for r in query.collect()]
+    placed = [t for t in got if t is not None]
+    assert placed and placed == sorted(placed) and all(t is None for t in got[len(placed) :])

@@ -151,9 +151,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """What the mix takes of every document. The text is read once; the rest works on ids and sizes."""
+    """What the mix takes of every document, in training order: by its first position, untaken ones last. The text is read once; the rest works on ids and sizes."""
     slim = materialize(sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
     found = _place(slim, seed, SCHEDULES, ROWS_PER_RANGE)
+    order = (F.asc_nulls_last("_mix_position_1"), F.asc_nulls_last("_mix_position_2"), F.asc("_mix_key"))
+    found = found.repartitionByRange(*order).sortWithinPartitions(*order)
     return found.select("doc_id", *(F.col(f"_mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "position_1", "position_2")))
 
 
