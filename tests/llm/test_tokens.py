@@ -99,3 +99,12 @@ def test_shards_round_trip_and_resume(docs, tmp_path):
     with pytest.raises(ValueError):
         shards.write(stream, out, length=length, shard_rows=rows, key=1)
     shutil.rmtree(tmp_path / "shards")
+
+
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    e, own = encoder(vocabulary_path()), Tokenizer.from_file(vocabulary_path())
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext| >", "語 <|endoftext|>", "a < | b"):
+        assert e(t).tolist() == own.encode(t, add_special_tokens=False).ids, t
+    assert e("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
