@@ -2,10 +2,11 @@
 
 All documents, each followed by an end token, make up one stream, which is cut into windows of
 ``length`` tokens; only the last window can be shorter. Two passes of prefix sums place them:
-the first tokenizes every partition and notes each document's place in it, partition totals (one
-number per partition) summed on the driver give each partition's place in the stream, and the
-second pass cuts. Nothing is shuffled, so neither hot sources nor long documents matter; windows
-that cross partitions are put together from boundary records.
+the first tokenizes every part and notes each document's place in it, part totals (one number per
+part) summed on the driver give each part's place in the stream, and the second pass cuts. Parts
+are the blocks of the input's files in the order in which they were written, because a scan deals
+files by size; where the input is no plain scan of files, they are its partitions. Nothing is shuffled, so neither hot sources nor long documents matter; windows
+that cross parts are put together from boundary records.
 
 The first pass writes its tokens as a table into the shared folder: the text is tokenized once, and
 a lost executor cannot change the order that the offsets stand for.
@@ -18,11 +19,13 @@ further input columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,9 @@ END = 0
 #: Rows handled at once in a Python worker.
 ROWS = 256
 
-TOKENS = "part int, doc_id long, at long, n long, ids binary"
+TOKENS = "part long, file string, block long, doc_id long, at long, n long, ids binary"
+#: Plan nodes that leave the rows of a scan in their order.
+IN_ORDER = {"Project", "Filter", "SubqueryAlias", "View"}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
 
 
@@ -45,46 +50,88 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
             yield batch.slice(k, rows)
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, pa.RecordBatch]]:
+    """Runs of rows of one block of a file."""
+    files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+    at = 0
+    for k in range(1, len(files) + 1):
+        if k == len(files) or (files[k], blocks[k]) != (files[at], blocks[at]):
+            yield files[at], blocks[at], batch.slice(at, k - at)
+            at = k
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
-    for batch in _slices(batches):
+    encode, of, at = encoder(path), None, 0
+    for file, block, batch in (x for b in _slices(batches) for x in _blocks(b)):
+        if of != (file, block):
+            of, at = (file, block), 0
+        part = xxhash.xxh64_intdigest(f"{file}\x00{block}") >> 1
+        if file is None:
+            part = block = TaskContext.get().partitionId()
         texts = batch.column("text").to_pylist()
         ids = [np.append(encode(t), np.array([end], encode.dtype)) for t in (t or "" for t in texts)]
         n = np.array([len(x) for x in ids], dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id"), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())],
-            names=["part", "doc_id", "at", "n", "ids"],
-        )
+            [pa.array(np.full(len(n), part, np.int64)), pa.array([file] * len(n), pa.string()), pa.array(np.full(len(n), block, np.int64)), batch.column("doc_id"),
+             pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())],
+            names=["part", "file", "block", "doc_id", "at", "n", "ids"],
+        )
         at += int(n.sum())
 
 
+def _scans_files(docs: DataFrame) -> bool:
+    """Whether the rows are those of a scan of files, in its order."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in IN_ORDER:
+        node = node.children().head()
+    return node.children().isEmpty() and "_metadata" in {c.name() for c in _items(node.metadataOutput())}
+
+
+def _items(found) -> Iterator:
+    return (found.apply(k) for k in range(found.size()))
+
+
+def written(file: str | None, block: int) -> tuple:
+    """Sorts parts in the order in which one write made them."""
+    folder, _, name = (file or "").rpartition("/")
+    number = re.match(r"part-(\d+)", name)
+    return folder, int(number[1]) if number else -1, name, block
+
+
 class Stream:
-    """Tokens of all documents with every partition's place in the stream."""
+    """Tokens of all documents with every part's place in the stream; ``order`` has what the parts are sorted by."""
 
-    def __init__(self, table: DataFrame, path: str, totals: dict[int, int], dtype: np.dtype):
+    def __init__(self, table: DataFrame, path: str, totals: dict[int, int], order: dict[int, tuple], dtype: np.dtype):
         self.table, self.path, self.dtype = table, path, dtype
-        parts = sorted(totals)
+        parts, bases, at = sorted(totals), {}, 0
+        for p in sorted(parts, key=lambda p: order[p]):
+            bases[p] = at
+            at += totals[p]
         self.parts = np.array(parts, dtype=np.int64)
         self.totals = np.array([totals[p] for p in parts], dtype=np.int64)
-        self.bases = np.cumsum(self.totals) - self.totals
-        self.tokens = int(self.totals.sum())
+        self.bases = np.array([bases[p] for p in parts], dtype=np.int64)
+        self.tokens = at
 
     def sequences(self, length: int = LENGTH) -> int:
         return -(-self.tokens // length)
 
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> Stream:
-    """First pass. What comes to the driver is one total for each partition."""
+    """First pass. What comes to the driver is one total for each part."""
     path = vocabulary or vocabulary_path()
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if _scans_files(docs):
+        file, block = docs.metadataColumn("_metadata")["file_path"], docs.metadataColumn("_metadata")["file_block_start"]
+    else:
+        file, block = F.lit(None).cast("string"), F.lit(0).cast("long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), file.alias("file"), block.alias("block"))
     out = shared_path(docs.sparkSession, "tokens")
     made = map_arrow(plain, functools.partial(_tokenize, path=path, end=end), TOKENS)
     made.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}).parquet(out)
     table = docs.sparkSession.read.schema(TOKENS).parquet(out)
-    totals = table.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n")).collect()
-    return Stream(table, out, {r["part"]: r["n"] for r in totals}, encoder(path).dtype)
+    totals = table.groupBy("part", "file", "block").agg(F.max(F.col("at") + F.col("n")).alias("n")).collect()
+    return Stream(table, out, {r["part"]: r["n"] for r in totals}, {r["part"]: written(r["file"], r["block"]) for r in totals}, encoder(path).dtype)
 
 
 def _cut(batch: pa.RecordBatch, bases: np.ndarray, parts: np.ndarray, length: int):
