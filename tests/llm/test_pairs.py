@@ -61,40 +61,108 @@ def test_small_documents(spark):
     ids, fps = [r[0] for r in rows], [brute_fingerprint(r[1]) for r in rows]
     want = brute_components(fps, ids)
     assert got == {(d, f"{f:016x}"): c for d, f, c in zip(ids, fps, want, strict=True)}
-    kept = simhash.deduplicate(df)
-    assert kept.columns == df.columns
-    named = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert named == sorted({c for c in want if c is not None}) and kept.count() == len(set(want))
-    assert simhash.report(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
+    assert simhash.report(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("pair_size", [8, 128, 1 << 13])
-def test_crowds_of_near_copies(spark, pair_size):
-    rng = np.random.default_rng(pair_size)
+@pytest.mark.parametrize("unit", [8, 128, 1 << 11])
+def test_crowds_of_near_copies(spark, unit):
+    rng = np.random.default_rng(unit)
     center = rng.integers(0, 2**63, 2, dtype=np.uint64)
     near = [c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64), axis=1) for c in center]
     fps = np.concatenate([*near, rng.integers(0, 2**63, 300, dtype=np.uint64), np.array([0, 1, 3, 7, 15, 2**63, 2**64 - 1], np.uint64), np.repeat(center[:1], 200)])
     prints = spark.createDataFrame([(i, 0, int(v)) for i, v in enumerate(fps.view(np.int64))], "doc_id long, tie long, fingerprint long")
-    got = prints.join(simhash.classes(prints, pair_size=pair_size), "fingerprint").select("doc_id", "component_id").orderBy("doc_id").collect()
+    got = prints.join(simhash.classes(prints, unit=unit), "fingerprint").select("doc_id", "component_id").orderBy("doc_id").collect()
     assert [r.component_id for r in got] == brute_components(fps, range(len(fps)))
 
 
 def test_forests_are_no_larger_than_their_nodes(spark):
     fps = [sum(1 << b for b in bits) for bits in [(i, j) for i in range(40) for j in range(i)]]  # all within 4, thousands within 2
     df = spark.createDataFrame([(v,) for v in fps], "fp long")
-    assert simhash.links(df).count() < len(fps)
+    tries = len(simhash.block_masks(len(fps), 2))
+    assert simhash.links(df).count() < tries * len(fps)
 
 
-def test_every_near_pair_lies_below_exactly_one_node_pair(spark):
-    rng = np.random.default_rng(5)
-    fps = np.unique(rng.integers(0, 2**10, 300).astype(np.uint64) << np.uint64(50))
-    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
-    pairs = simhash.node_pairs(df, 2, 16).collect()
-    for i in range(len(fps)):
+@pytest.mark.parametrize("count", [10, 10**9, 10**12])
+def test_every_near_pair_shares_a_root(count):
+    masks = simhash.block_masks(count, 2)
+    assert len(masks) == {10: 3, 10**9: 6, 10**12: 10}[count]
+    for i in range(64):
+        for j in range(i + 1):
+            assert any(not (1 << i | 1 << j) & m for m in masks)
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 5, 18])
+def test_walk_finds_every_pair_once(budget, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 1)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rng = np.random.default_rng(budget)
+    fp = np.sort(rng.integers(0, 2**16, 240, dtype=np.uint64) << np.uint64(44))
+    parts = [np.sort(fp[a:b]) for a, b in ((0, 100), (100, 170), (170, 240))]
+    held = np.concatenate(parts)
+    got = [(int(i), int(j)) for a, b in simhash.walk(held, [0, 100], [100, 170], [0, 170], [100, 240], budget) for i, j in zip(a, b, strict=True)]
+    near = lambda i, j: int(held[i] ^ held[j]).bit_count() <= budget
+    want = [(i, j) for i in range(100) for j in range(i + 1, 100) if near(i, j)] + [(i, j) for i in range(100, 170) for j in range(170, 240) if near(i, j)]
+    assert sorted(got) == sorted(want)
+
+
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts, similarity=0.8):
+    """Components of texts by exact Jaccard similarity of their 5-word shingles, all pairs compared."""
+    held = [brute_shingles(t) for t in texts]
+    root = list(range(len(held)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(held)):
         for j in range(i):
-            if np.bitwise_count(fps[i] ^ fps[j]) <= 2:
-                ends = lambda d: tuple(sorted(int(x) >> (64 - d) if d else 0 for x in (fps[i], fps[j])))
-                assert sum((p.a % 2**64, p.b % 2**64) == ends(p.depth) for p in pairs) == 1
+            both = len(held[i] & held[j])
+            if held[i] == held[j] or both >= similarity * (len(held[i]) + len(held[j]) - both) > 0:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(held))]
+
+
+def changed(rng, words, n, vocabulary):
+    at = rng.choice(len(words), n, replace=False)
+    return [str(rng.choice(vocabulary)) if k in set(at.tolist()) else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("unit", [16, 1 << 11])
+def test_deduplicate_against_all_pairs(spark, unit):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = rng.choice(vocabulary, 60).tolist()
+    texts = [*TEXTS, "a b c d e", "A  b c d\te"]
+    for size in (60, 90, 300, 1500):
+        for _ in range(8):
+            base = rng.choice(vocabulary, size).tolist()
+            texts += [" ".join(changed(rng, base, n, vocabulary)) for n in (0, 0, 1, max(1, size // 60), size // 40, size // 20)]
+    crowd = rng.choice(vocabulary, 200).tolist()  # its copies are near it, but mostly not near each other
+    texts += [" ".join(changed(rng, crowd, 4, vocabulary)) for _ in range(60)] + [" ".join(crowd)]
+    texts += [" ".join(passage + rng.choice(vocabulary, 60).tolist()) for _ in range(40)]  # a shared passage is no copy
+    want = brute_groups(texts)
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, best_id string, tie long, row int")
+    got = simhash.deduplicate(df, unit=unit)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
+def test_deduplicate_odd_rows(spark):
+    names = ("best_id", "best_tie", "_tie", "_best_id", "node", "row", "id", "fp", "a.b")
+    rows = [(3, "One two"), (3, "One two"), (None, "one two"), (None, "other words"), (2, None), (7, ""), (7, "x " * 50_000), (9, "x " * 50_000 + "y")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = simhash.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, (r.text or "")[:11]) for r in got.collect()), key=str) == sorted([(3, "One two"), (None, "other words"), (2, ""), (7, "x x x x x x"), (9, "x x x x x x")], key=str)
+    assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):

@@ -1,20 +1,32 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints: 64 majority bits over the XXH64 hashes of all 3-word shingles of the lower-cased
-text. Equal fingerprints are one entry of the trie, so a group of copies of any size costs one.
+Fingerprints are 64 majority bits over the hashes of a text's word shingles. They are the paths of
+binary tries. A trie's root is a value that linked texts share, so that only what lies below one
+root is compared:
+
+* :func:`report` links fingerprints that differ in at most ``budget`` bits. Its roots are blocks of
+  the fingerprint itself: of ``m`` blocks ``m - budget`` are equal in every such pair, so every
+  choice of that many blocks is one trie and no link is lost. ``m`` grows with the number of
+  fingerprints, for roots of a few dozen: 3 copies of each fingerprint up to a hundred million, 6 beyond.
+* :func:`deduplicate` links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
+  more. Fingerprints of such texts differ in 10 bits on average, too many for blocks, so the roots
+  are the texts' smallest shingles under ``ROOTS`` hash functions (a pair at 0.8 shares none once in
+  3000), the error budget is 18 bits (a pair at 0.8 passes it twice in 1000), and every pair that
+  is left is checked on the whole sets of shingles. Pairs below 0.8 are never linked.
 
 The join walks pairs of trie nodes from the root down. A pair adds up the bits in which its nodes'
-paths differ and is dropped as soon as they exceed the budget. The upper part of the walk is done
-on counts of fingerprints by prefix: pairs that still hold many fingerprints are taken further
-down, a few bits at a time, wherever the trie is crowded. The lower part is done for every pair of
-small nodes in one task, on sorted arrays. A task returns a spanning forest of the links that it
-found, not the links, so a crowd of thousands of near copies gives as many rows as it has
-fingerprints. Components come from those forests (:mod:`tidemark.llm.components`).
+paths differ and is dropped as soon as they exceed the budget; pairs too small to be pruned are
+compared outright. Crowded roots are dealt into blocks by hash and joined block against block, so no
+task holds more than two blocks. Equal fingerprints (or texts) are one entry, so a group of
+copies of any size costs one. A task returns a spanning forest of the links that it found, not the
+links, and compares what its forest does not join already. Components come from those forests
+(:mod:`tidemark.llm.components`).
 
 Defined results for odd input: texts without words, null ones too, have fingerprint zero and are
-linked like any other; repeated rows are members of one component; a null ``doc_id`` never names a
-component unless all its members' ids are null; an empty table gives an empty result; further
-input columns are ignored by the fingerprints and kept by :func:`deduplicate`.
+linked like any other; texts with fewer words than a shingle have one shingle, all their words;
+repeated rows are members of one component; a null ``doc_id`` never names a component unless all its
+members' ids are null; an empty table gives an empty result; further input columns, whatever their
+names, are ignored by the fingerprints and kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations
@@ -33,21 +45,44 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import map_arrow, materialize, ship
 from tidemark.llm.components import components
 
+BITS = 64
+#: Of the links between fingerprints.
 WORDS = 3
 SEED = 42
-BITS = 64
 BUDGET = 2
-#: Fingerprints that the two nodes of a pair may hold for one task to join them.
-PAIR_SIZE = 1 << 13
-#: Bits by which crowded pairs are taken down at once.
-STEP = 4
-#: Node pairs and candidate links that a task holds at once.
+#: Of the links between texts.
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+NEAR_BUDGET = 18
+ROOTS = 5
+#: Fingerprints that a root should hold on average.
+ROOT_SIZE = 64
+#: Entries of one block of a crowded root.
+UNIT = 1 << 11
+#: Entries, and bytes of shingles, that a task gets at once on average.
+TASK_ROWS = 1 << 15
+TASK_BYTES = 1 << 25
+#: Node pairs and compared pairs that a task holds at once.
 CHUNK = 1 << 16
+PAIRS = 1 << 20
 LEAF = 64
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    set_in = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        set_in += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()  # of bytes: A-Z only, and the six ASCII spaces
+
+
 def fingerprint(text: str | None) -> int:
-    words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z only, and the six ASCII spaces
+    """Of the 3-word shingles, repeats included."""
+    words = _words(text)
     if not words:
         return 0
     if len(words) <= WORDS:
@@ -57,11 +92,31 @@ def fingerprint(text: str | None) -> int:
     starts = (ends - [len(w) + 1 for w in words])[: len(words) - WORDS + 1].tolist()
     stops = (ends[WORDS - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    set_in = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), CHUNK):
-        set_in += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Hashes of the different shingles, sorted."""
+    held = np.array([xxhash.xxh3_64_intdigest(w) for w in _words(text)], dtype=np.uint64)
+    if not len(held):
+        return held
+    n = max(1, len(held) - words + 1)
+    found = np.zeros(n, np.uint64)
+    for k in range(min(words, len(held))):
+        found = _mix(found * np.uint64(0x9E3779B97F4A7C15) + held[k : k + n])
+    return np.unique(found)
+
+
+def roots_of(held: np.ndarray, count: int = ROOTS) -> list[int]:
+    """The smallest shingle under each of ``count`` hash functions."""
+    if not len(held):
+        return [0] * count
+    return [int(_mix(_mix(held ^ np.uint64(k + 1)) * np.uint64(2 * k + 3)).min()) for k in range(count)]
 
 
 def _fingerprints(batches) -> Iterator[pa.RecordBatch]:
@@ -72,58 +127,51 @@ def _fingerprints(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(found)], names=["doc_id", "tie", "fingerprint"])
 
 
+def _signatures(batches, words: int, count: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            rows = batch.slice(k, 256)
+            texts = rows.column("text").to_pylist()
+            held = [shingles(t, words) for t in texts]
+            node = np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(t))) for t in texts], np.uint64)
+            prints = np.array([majority(h) if len(h) else 0 for h in held], np.uint64)
+            roots = np.array([roots_of(h, count) for h in held], np.uint64).reshape(-1)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("tie"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array([len(h) for h in held], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * count), pa.array(roots.view(np.int64)))],
+                names=["doc_id", "tie", "node", "fp", "n", "roots"],
+            )
+
+
+def _sets(batches, words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            rows = batch.slice(k, 256)
+            held = [shingles(t, words).tobytes() for t in rows.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(held, pa.binary())], names=["node", "held"])
+
+
 def tie() -> Column:
     """Tells apart rows of one id with different texts."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie().alias("tie"), F.col("text").cast("string").alias("text"))
-    return map_arrow(plain, _fingerprints, "doc_id long, tie long, fingerprint long")
-
-
-def _masks(depth: int, budget: int) -> list[int]:
-    """All patterns of at most ``budget`` set bits among ``depth``."""
-    return [sum(1 << b for b in bits) for k in range(min(budget, depth) + 1) for bits in itertools.combinations(range(depth), k)]
-
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie().alias("tie"), F.col("text").cast("string").alias("text"))
 
-def _prefix(depth: Column | int) -> Column:
-    """The first ``depth`` bits of the fingerprint."""
-    if isinstance(depth, int):
-        return F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
-    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(fp, {BITS} - depth)"))
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    return map_arrow(_plain(docs), _fingerprints, "doc_id long, tie long, fingerprint long")
 
-def node_pairs(distinct: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) -> DataFrame:
-    """``depth, a, b, errors``: trie node pairs (a <= b) within the budget, small enough for one task or at full depth.
 
-    Every two fingerprints within the budget lie below exactly one of them.
-    """
-    depth = min(BITS, max(0, math.ceil(math.log2(max(1, distinct.count()) / (pair_size / 4)))))
-    nodes = distinct.groupBy(_prefix(depth).alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    partners = nodes.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in _masks(depth, budget)))))
-    partners = partners.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("node").bitwiseXOR(F.col("mask")).alias("b"), F.bit_count("mask").alias("errors"))
-    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    pairs = materialize(partners.where(F.col("a") <= F.col("b")).join(other, "b").select("a", "b", "n_a", "n_b", "errors"), "node-pairs")
-    size = F.when(F.col("a") == F.col("b"), F.col("n_a")).otherwise(F.col("n_a") + F.col("n_b"))
-    done = []
-    while True:
-        crowded = size > pair_size if depth < BITS else F.lit(False)
-        done.append(pairs.where(~crowded).select(F.lit(depth).alias("depth"), "a", "b", "errors"))
-        pairs = pairs.where(crowded)
-        if depth >= BITS or pairs.isEmpty():
-            return functools.reduce(DataFrame.unionByName, done)
-        step = min(STEP, BITS - depth)
-        depth += step
-        heavy = pairs.select(F.col("a").alias("parent")).unionByName(pairs.select(F.col("b").alias("parent"))).distinct()
-        nodes = distinct.groupBy(_prefix(depth).alias("node")).agg(F.count(F.lit(1)).alias("n")).withColumn("parent", F.shiftrightunsigned("node", step))
-        nodes = materialize(nodes.join(heavy, "parent", "left_semi"), "crowded-nodes")
-        left = nodes.select(F.col("parent").alias("a"), F.col("node").alias("a_child"), F.col("n").alias("n_a"))
-        right = nodes.select(F.col("parent").alias("b"), F.col("node").alias("b_child"), F.col("n").alias("n_b"))
-        below = pairs.select("a", "b", "errors").join(left, "a").join(right, "b")
-        below = below.withColumn("errors", F.bit_count(F.col("a_child").bitwiseXOR(F.col("b_child"))).cast("int"))
-        below = below.where((F.col("errors") <= budget) & ((F.col("a") != F.col("b")) | (F.col("a_child") <= F.col("b_child"))))
-        pairs = materialize(below.select(F.col("a_child").alias("a"), F.col("b_child").alias("b"), "n_a", "n_b", "errors"), "node-pairs")
+def block_masks(count: int, budget: int) -> list[int]:
+    """Bits of every trie's root among ``count`` fingerprints: pairs within the budget agree in all bits of one mask."""
+    blocks = budget + 1
+    while blocks < BITS and count / 2.0 ** (BITS * (blocks - budget) // blocks) > ROOT_SIZE:
+        blocks += 1
+    cuts = [BITS * k // blocks for k in range(blocks + 1)]
+    whole = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(blocks)]
+    return [sum(chosen) for chosen in itertools.combinations(whole, blocks - budget)]
 
 
 class _Forest:
@@ -148,123 +196,236 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def join_nodes(a: np.ndarray, b: np.ndarray, depth: int, errors: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between two subtries (sorted distinct uint64 below nodes at ``depth``) as index pairs; ``b is a`` joins one with itself."""
-    same = b is a
-    start = [np.array([x], np.int64) for x in (0, len(a), 0, len(b), errors)]
-    stack = [(depth, start)]
+def walk(fp: np.ndarray, alo, ahi, blo, bhi, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of fingerprints within the budget below pairs of tries.
+
+    A trie is a sorted range of ``fp``: [alo, ahi) against [blo, bhi), or against itself where the two
+    are the same.
+    """
+    ones: dict[int, np.ndarray] = {}
+    # A pair of nodes is first pruned more than ``budget`` levels down, where it has become 4 ** budget pairs.
+    leaf = LEAF << min(2 * budget, 30)
+    stack = [(0, [np.asarray(x, np.int64) for x in (alo, ahi, blo, bhi)] + [np.zeros(len(alo), np.int64)])]
     while stack:
         depth, work = stack.pop()
         if len(work[0]) > CHUNK:
             half = len(work[0]) // 2
             stack += [(depth, [x[half:] for x in work]), (depth, [x[:half] for x in work])]
             continue
-        alo, ahi, blo, bhi, err = work
-        small = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth >= BITS)
-        yield from _leaves(a, b, [x[small] for x in work], budget, same)
-        alo, ahi, blo, bhi, err = (x[~small] for x in work)
+        alo, ahi, blo, bhi, errors = work
+        small = ((ahi - alo) * (bhi - blo) <= leaf) | (depth >= BITS)
+        yield from _outright(fp, *(x[small] for x in work[:4]), budget)
+        alo, ahi, blo, bhi, errors = (x[~small] for x in work)
         if not len(alo):
             continue
-        keep = np.uint64((2**64 - 1) ^ ((1 << (BITS - depth)) - 1))
-        bit = np.uint64(1 << (BITS - 1 - depth))
-        amid = np.clip(np.searchsorted(a, (a[alo] & keep) | bit), alo, ahi)
-        bmid = np.clip(np.searchsorted(b, (b[blo] & keep) | bit), blo, bhi)
-        twin = same & (alo == blo) & (ahi == bhi)
+        if depth not in ones:
+            ones[depth] = np.concatenate([[0], np.cumsum(fp >> np.uint64(BITS - 1 - depth) & np.uint64(1), dtype=np.int64)])
+        amid, bmid = (hi - (ones[depth][hi] - ones[depth][lo]) for lo, hi in ((alo, ahi), (blo, bhi)))
+        twin = alo == blo
         parts = []
         for x0, x1, y0, y1, more, wanted in ((alo, amid, blo, bmid, 0, True), (amid, ahi, bmid, bhi, 0, True), (alo, amid, bmid, bhi, 1, True), (amid, ahi, blo, bmid, 1, ~twin)):
-            live = (x1 > x0) & (y1 > y0) & (err + more <= budget) & wanted
-            parts.append([x[live] for x in (x0, x1, y0, y1, err + more)])
+            live = (x1 > x0) & (y1 > y0) & (errors + more <= budget) & wanted
+            parts.append([x[live] for x in (x0, x1, y0, y1, errors + more)])
         stack.append((depth + 1, [np.concatenate(x) for x in zip(*parts, strict=True)]))
 
 
-def _leaves(a, b, work, budget, same):
-    """Pairs below small nodes, compared bit by bit; a chunk of nodes at a time."""
-    alo, ahi, blo, bhi, _ = work
-    sizes = (ahi - alo) * (bhi - blo)
-    bounds = np.searchsorted(np.cumsum(sizes), np.arange(CHUNK * LEAF, sizes.sum() + CHUNK * LEAF, CHUNK * LEAF), side="right") + 1 if len(sizes) else []
+def _outright(fp, alo, ahi, blo, bhi, budget):
+    """Pairs below small nodes, compared on all bits, a bounded number at a time."""
+    n = ahi - alo
+    i = np.repeat(alo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    low = np.where(np.repeat(alo == blo, n), i + 1, np.repeat(blo, n))
+    width = np.repeat(bhi, n) - low
+    some = width > 0
+    i, low, width = i[some], low[some], width[some]
+    upto = np.cumsum(width)
     at = 0
-    for end in bounds:
-        part = slice(at, max(int(end), at + 1))
-        at = part.stop
-        n = sizes[part]
-        if not len(n):
-            continue
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat((bhi - blo)[part], n)
-        i = np.repeat(alo[part], n) + within // width
-        j = np.repeat(blo[part], n) + within % width
-        near = np.bitwise_count(a[i] ^ b[j]) <= budget
-        if same:
-            near &= i < j
-        yield i[near], j[near]
-
-
-def _links(key, batches, budget: int) -> Iterator[pa.RecordBatch]:
-    """The spanning forest of one node pair's links."""
-    depth, a_node, b_node, errors = (x.as_py() for x in key)
-    held = pa.Table.from_batches(batches)
-    fp = np.sort(np.array(held.column("fp").to_numpy(), np.int64).view(np.uint64))
-    if a_node == b_node:
-        a = b = fp
-        shift = 0
-    else:
-        left = (fp >> np.uint64(BITS - depth)) == np.uint64(a_node)
-        a, b = fp[left], fp[~left]
-        fp, shift = np.concatenate([a, b]), len(a)
-    forest = _Forest(len(fp))
-    for i, j in join_nodes(a, b, depth, errors, budget):
-        forest.link(i, j + shift)
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        w = width[at:to]
+        left = np.repeat(i[at:to], w)
+        right = np.repeat(low[at:to], w) + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w)
+        near = np.bitwise_count(fp[left] ^ fp[right]) <= budget
+        yield left[near], right[near]
+        at = to
+
+
+class _Dealt:
+    """The rows of one task: whole units, each a range of the arrays with its two sides sorted by fingerprint."""
+
+    def __init__(self, batches):
+        held = pa.Table.from_batches(batches)
+        columns = {c: held.column(c).to_numpy() for c in ("key", "i", "j", "side", "trie", "node", "fp")}
+        fp = np.array(columns["fp"], np.int64).view(np.uint64)
+        order = np.lexsort((fp, columns["side"], columns["j"], columns["i"], columns["key"]))
+        self.table, self.order, self.fp = held, order, fp[order]
+        self.node, self.trie = columns["node"][order], columns["trie"][order]
+        unit = [columns[c][order] for c in ("key", "i", "j")]
+        side = columns["side"][order]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in unit])
+        self.start = np.flatnonzero(new)
+        self.stop = np.append(self.start[1:], len(order))
+        self.middle = self.stop - np.add.reduceat(side.astype(np.int64), self.start) if len(order) else self.stop
+        self.self_join = unit[1][self.start] == unit[2][self.start]
+        self.prior = held.column("prior").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+
+    def pairs(self, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates, each in the first trie that its two entries share."""
+        blo = np.where(self.self_join, self.start, self.middle)
+        ahi = np.where(self.self_join, self.stop, self.middle)
+        some = (ahi > self.start) & (self.stop > blo)
+        for a, b in walk(self.fp, self.start[some], ahi[some], blo[some], self.stop[some], budget):
+            if self.prior.shape[1] and len(a):
+                before = np.arange(self.prior.shape[1])[None] < self.trie[a][:, None]
+                first = ~((self.prior[a] == self.prior[b]) & before).any(axis=1)
+                a, b = a[first], b[first]
+            yield a, b
+
+
+def _edges(dealt: _Dealt, forest: _Forest) -> pa.RecordBatch:
     root = forest.roots()
     linked = np.flatnonzero(root != np.arange(len(root)))
-    yield pa.RecordBatch.from_arrays([pa.array(fp[root[linked]].view(np.int64)), pa.array(fp[linked].view(np.int64))], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(dealt.node[root[linked]]), pa.array(dealt.node[linked])], names=["a", "b"])
+
+
+def _join(_key, batches, budget: int) -> Iterator[pa.RecordBatch]:
+    """The spanning forest of the links in one task's units."""
+    dealt = _Dealt(list(batches))
+    forest = _Forest(len(dealt.fp))
+    for i, j in dealt.pairs(budget):
+        forest.link(i, j)
+    yield _edges(dealt, forest)
+
+
+def _candidates(_key, batches, budget: int) -> Iterator[pa.RecordBatch]:
+    """The rows that have a candidate partner in their unit."""
+    dealt = _Dealt(list(batches))
+    live = np.zeros(len(dealt.fp), bool)
+    for i, j in dealt.pairs(budget):
+        live[i] = live[j] = True
+    yield from dealt.table.take(pa.array(dealt.order[live])).combine_chunks().to_batches()
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - 1e-9
+
+
+def _verify(_key, batches, budget: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The spanning forest of the candidates whose sets are alike, the nearest pairs checked first."""
+    dealt = _Dealt(list(batches))
+    held = [np.frombuffer(x.as_buffer(), "<u8") for x in dealt.table.column("held").take(pa.array(dealt.order))]
+    forest = _Forest(len(held))
+    for i, j in dealt.pairs(budget):
+        nearest = np.argsort(np.bitwise_count(dealt.fp[i] ^ dealt.fp[j]), kind="stable")
+        i, j, size = i[nearest], j[nearest], 64
+        while len(i):
+            root = forest.roots()
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            good = np.array([alike(held[x], held[y], similarity) for x, y in zip(i[:size].tolist(), j[:size].tolist(), strict=True)], bool)
+            forest.link(i[:size][good], j[:size][good])
+            i, j, size = i[size:], j[size:], min(2 * size, 4096)
+    yield _edges(dealt, forest)
+
+
+ROWS = "key long, i int, j int, side int, trie int, node long, fp long, n long, prior array<long>"
+
+
+def units(entries: DataFrame, roots: Column, unit: int = UNIT) -> DataFrame:
+    """``ROWS``: every entry (``node, fp, n, prior``) below each of its roots that has others; crowded roots as pairs of blocks."""
+    rooted = entries.select("node", "fp", "n", "prior", F.posexplode(roots).alias("trie", "root"))
+    rooted = rooted.withColumn("key", F.xxhash64("trie", "root")).drop("root")
+    shared = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > 1)
+    blocks = F.ceil(F.col("here") / unit).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    live = rooted.join(shared, "key").withColumn("blocks", blocks).withColumn("block", block)
+    pairs = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine, other = F.col("block"), F.col("other")
+    return pairs.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side"), "trie", "node", "fp", "n", "prior")
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) -> DataFrame:
+def _grouped(rows: DataFrame, groups: int):
+    ship(rows.sparkSession)
+    return rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, groups)))).groupBy("task")
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
     """Forests ``a, b`` of all links between distinct fingerprints (``fp``)."""
-    pairs = materialize(node_pairs(distinct, budget, pair_size), "node-pairs")
-    inner = pairs.where((F.col("a") != F.col("b")) | (F.col("depth") < BITS))  # a full path is one fingerprint
-    sides = inner.select("depth", F.col("a").alias("node"), "a", "b", "errors").unionByName(
-        inner.where(F.col("a") != F.col("b")).select("depth", F.col("b").alias("node"), "a", "b", "errors")
-    )
-    depths = [r["depth"] for r in pairs.select("depth").distinct().collect()]  # at most one for each bit
-    if not depths:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    paths = distinct.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).select("fp", "depth", _prefix(F.col("depth")).alias("node"))
-    dealt = paths.join(sides, ["depth", "node"])
+    masks = block_masks(distinct.count(), budget)
+    entries = distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("prior"))
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    rows = materialize(units(entries, F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed)), unit), "trie-rows")
+    return _grouped(rows, math.ceil(rows.count() / TASK_ROWS)).applyInArrow(_two(functools.partial(_join, budget=budget)), "a long, b long")
 
-    def join_pair(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _links(key, batches, budget)
 
-    ship(distinct.sparkSession)
-    return dealt.select("depth", "a", "b", "errors", "fp").groupBy("depth", "a", "b", "errors").applyInArrow(join_pair, "a long, b long")
+def _two(work):
+    """``work`` with the two annotated arguments that Spark reads."""
 
+    def group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(key, batches)
 
-def classes(prints: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) -> DataFrame:
-    """``fingerprint, component_id, best``: a row for each distinct fingerprint; ``best`` is the component's first document."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tie"))).alias("best")
-    distinct = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(first), "fingerprints")
-    roots = components(materialize(links(distinct.select("fp"), budget, pair_size), "forest"))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return group
+
+
+def near_links(docs: DataFrame, entries: DataFrame, words: int, similarity: float, budget: int, unit: int = UNIT) -> DataFrame:
+    """Forests ``a, b`` of all links between different texts: ``entries`` has ``node, fp, n, prior`` and the ``best`` document of each."""
+    rows = materialize(units(entries, F.col("prior"), unit), "trie-rows")
+    candidates = _grouped(rows, math.ceil(rows.count() / TASK_ROWS)).applyInArrow(_two(functools.partial(_candidates, budget=budget)), f"{ROWS}, task long")
+    candidates = materialize(candidates.drop("task"), "candidates")
+    wanted = entries.select("node", F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")).join(candidates.select("node").distinct(), "node", "left_semi")
+    found = _plain(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")))
+    found = found.dropDuplicates(["node"])
+    sets = materialize(map_arrow(found.select("node", "text"), functools.partial(_sets, words=words), "node long, held binary"), "shingles")
+    size = candidates.agg(F.count(F.lit(1)).alias("rows"), F.sum(8 * F.col("n")).alias("bytes")).collect()[0]
+    groups = max(math.ceil(size["rows"] / TASK_ROWS), math.ceil((size["bytes"] or 0) / TASK_BYTES))
+    work = functools.partial(_verify, budget=budget, similarity=similarity)
+    return _grouped(candidates.join(sets, "node"), groups).applyInArrow(_two(work), "a long, b long")
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tie"))).alias("best")
+
+
+def _placed(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, best`` of ``entries``, the latter of the node's component."""
+    roots = components(materialize(edges, "forest"))
+    placed = entries.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed, "placed")
     best = placed.groupBy("root").agg(F.min("best").alias("best"))
-    return placed.select("fp", "root").join(best, "root").select(F.col("fp").alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "best")
+    return placed.select("node", "root").join(best, "root").select("node", "best")
+
+
+def classes(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
+    """``fingerprint, component_id, best``: a row for each distinct fingerprint; ``best`` is the component's first document."""
+    distinct = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(_first()), "fingerprints")
+    placed = _placed(distinct.withColumnRenamed("fp", "node"), links(distinct.select("fp"), budget, unit))
+    return placed.select(F.col("node").alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "best")
 
 
-def report(docs: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) -> DataFrame:
+def report(docs: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
     """``doc_id, fingerprint`` (hexadecimal), ``component_id`` for every document."""
     prints = materialize(fingerprints(docs), "prints")
-    found = prints.join(classes(prints, budget, pair_size), "fingerprint")
+    found = prints.join(classes(prints, budget, unit), "fingerprint")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, budget: int = BUDGET, pair_size: int = PAIR_SIZE) -> DataFrame:
-    """The first document (smallest id) of every component, with the columns of ``docs``."""
-    prints = materialize(fingerprints(docs), "prints")
-    best = classes(prints, budget, pair_size).select("best").distinct().select(F.col("best.doc_id").alias("_best_id"), F.col("best.tie").alias("_best_tie"))
-    best = materialize(best, "kept-ids")
-    marked = docs.withColumn("_tie", tie())
-    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_best_id")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
-    again = prints.groupBy("doc_id", "tie").count().where(F.col("count") > 1)
+def deduplicate(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, budget: int = NEAR_BUDGET, roots: int = ROOTS, unit: int = UNIT) -> DataFrame:
+    """The first document (smallest id) of every component of similar texts, with the columns of ``docs``."""
+    schema = "doc_id long, tie long, node long, fp long, n long, roots array<long>"
+    signed = materialize(map_arrow(_plain(docs), functools.partial(_signatures, words=words, count=roots), schema), "signatures")
+    entries = signed.groupBy("node").agg(_first(), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("roots").alias("prior"))
+    entries = materialize(entries, "texts")
+    best = _placed(entries, near_links(docs, entries, words, similarity, budget, unit)).select("best").distinct()
+    best = materialize(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")), "kept-ids")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), tie().alias("tie"))
+    kept = held.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")), "left_semi")
+    again = signed.groupBy("doc_id", "tie").count().where(F.col("count") > 1)
     if not again.isEmpty():  # whole rows given more than once
-        kept = kept.dropDuplicates(["doc_id", "_tie"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "tie"])
+    return kept.select("row.*")
