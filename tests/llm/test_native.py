@@ -61,15 +61,39 @@ def test_quality_verdicts_do_not_depend_on_the_order(docs):
 
 def test_quality_estimates_and_empty_tables(docs):
     best = quality.estimate(docs)
-    assert [e.gain for e in best] == sorted((e.gain for e in best), reverse=True)
+    assert {e.rule.name for e in best} == {r.name for r in quality.RULES}
+    assert [e.rule.name for e in best] == [e.rule.name for e in quality.estimate(docs.repartition(3))]  # counts, not clocks
+    left = best[0].left
+    for e in best:
+        assert e.left == left
+        left -= e.rejected
     empty = docs.limit(0)
     assert quality.report(empty).count() == 0 and quality.keep(empty).count() == 0
+    assert [e.rejected for e in quality.estimate(empty)] == [0] * len(quality.RULES)
+
+
+def test_estimates_weigh_rejections_by_cost(spark):
+    rows = spark.createDataFrame([(" ".join(f"w{k}" for k in range(100 + i)),) for i in range(400)], "text string")
+    dear = quality.Rule("dear", ("n_repeat_words",), lambda s: s["n_repeat_words"] >= 0)
+    cheap = quality.Rule("cheap", ("n_words",), lambda s: s["n_words"] % 2 == 0)
+    again = quality.Rule("again", ("n_words",), lambda s: s["n_words"] % 7 == 0)
+    got = quality.estimate(rows, (dear, again, cheap))
+    # half for one pass over the text, then what is free once its statistic is there, then the dear one
+    assert [e.rule.name for e in got] == ["cheap", "again", "dear"] and got[0].cost > 10 * got[1].cost
 
 
 def test_cascade_stops_at_the_first_rejection(spark):
-    fails = quality.Rule("fails", lambda s: F.raise_error(F.lit("evaluated")).isNull())
-    found = spark.createDataFrame([("short",)], "text string").select(quality.cascade([quality.MIN_WORDS, fails], quality.of_text(F.col("text"))).alias("r"))
-    assert found.collect()[0].r == "min_words"
+    fails = F.raise_error(F.lit("evaluated")).cast("long")
+    late = quality.Rule("late", ("n_capitals",), lambda s: s["n_capitals"] > 0)
+    held = quality.STATISTICS["n_capitals"]
+    quality.STATISTICS["n_capitals"] = quality.Statistic(lambda text: fails, 1.0)
+    try:
+        found = spark.createDataFrame([("short",)], "text string").select(quality.cascade([quality.MIN_WORDS, late], F.col("text")).alias("r"))
+        assert found.collect()[0].r == "min_words"
+        with pytest.raises(Exception, match="evaluated"):
+            spark.createDataFrame([("long " * 60,)], "text string").select(quality.cascade([quality.MIN_WORDS, late], F.col("text")).alias("r")).collect()
+    finally:
+        quality.STATISTICS["n_capitals"] = held
 
 
 def brute_targets(sizes, weights=(3, 1, 2), budget=1.5):
@@ -189,9 +213,32 @@ def test_oracles(spark, name):
 
 
 def test_mixing_query_comes_in_training_order(spark):
-    sf = "/root/testdata/sf0.001"
-    query = QUERIES["op6_source_mixing"](spark, sf)
-    at = {r.doc_id: r.position_1 for r in mixing.assign(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    got = [at[r.doc_id] for r in query.collect()]
-    placed = [t for t in got if t is not None]
-    assert placed and placed == sorted(placed) and all(t is None for t in got[len(placed) :])
+    got = [(r.position_1, r.position_2) for r in QUERIES["op6_source_mixing"](spark, DATA).collect()]
+    placed = [a for a, _ in got if a is not None]
+    assert placed and placed == sorted(placed) and all(a is None for a, _ in got[len(placed) :])
+    assert all(b is None or a < b for a, b in got) and any(b for _, b in got)
+
+
+def test_positions_follow_the_schedules(spark):
+    """Of a fading source more than half of the words lie in the first half, as its integral says."""
+    rows = [(i, f"s{i % 3}", f"word{i} " * (1 + i % 9)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    due, seen = {}, {}
+    for r in mixing.assign(df).collect():
+        for k in (1, 2):
+            if r[f"take_{k}"]:
+                seen[r.source] = seen.get(r.source, 0) + (r[f"take_{k}"] if r[f"position_{k}"] < 0.5 else 0)
+        due[r.source] = r.target
+    assert {s: seen[s] / due[s] for s in due} == pytest.approx({"s0": 0.625, "s1": 0.5, "s2": 0.375}, abs=0.01)  # (1.5 + 1) / 4, ...
+
+
+def test_null_ids_are_spread(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    ranges = mixing.placed(mixing.sized(df), 0, mixing.SCHEDULES, 64).groupBy("range").count().collect()
+    assert len(ranges) > 32 and max(r["count"] for r in ranges) < 200
+
+
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 99, 1, "x") for i in range(20)], "doc_id long, text string, source string, _mix_size long, position int, `a.b` string")
+    assert {(r["_mix_size"], r.position, r["a.b"]) for r in mixing.mix(df).collect()} == {(99, 1, "x")}
+    assert {(r["_mix_size"], r["size"]) for r in mixing.assign(df).collect()} == {(99, 3)}

@@ -1,5 +1,6 @@
 """SimHash near-duplicates and exact top-k: against brute force."""
 
+import math
 import os
 import re
 
@@ -182,15 +183,18 @@ def test_near_duplicates_of_the_test_data(spark):
 
 
 def brute_top_k(rows, every, k=5):
-    ids = np.array([r[0] for r in rows])
-    x = np.floor(256 * np.array([r[1] for r in rows], np.float32).astype(np.float64)).astype(np.int64)
+    """Every row with a fitting id against every other row, in unbounded integers."""
+    vectors = [(i, [math.floor(256 * float(c)) for c in v]) for i, v in rows]
     found = []
-    for q in sorted({i for i in ids.tolist() if i % every == 0}):
-        at = min(np.flatnonzero(ids == q), key=lambda i: tuple(x[i]))
-        score = x @ x[at]
-        best = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
-        found += [(q, n + 1, int(ids[j]), int(score[j])) for n, j in enumerate(best)]
-    return found
+    for at, (q, x) in enumerate(vectors):
+        if q % every == 0:
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=False)))), i) for j, (i, y) in enumerate(vectors) if j != at]
+            found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(found)
+
+
+def ranked(df):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
 
 
 @pytest.mark.parametrize("block", [3, 8192])
@@ -198,27 +202,44 @@ def test_top_k(spark, block):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(300)]  # copies of one vector: ties go to the smaller id
-    rows += [(7, rows[9][1]), (50, rows[9][1]), (2000, [0.0] * 8), (2050, [0.0] * 8)]
+    rows += [(7, rows[9][1]), (50, rows[9][1]), (50, rows[50][1]), (2000, [0.0] * 8), (2050, [0.0] * 8)]  # ids given twice
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.search(df, F.pmod("vec_id", F.lit(50)) == 0, query_block=block, sample_rows=64, pivots=5).orderBy("query_id", "rank").collect()
-    assert [tuple(r) for r in got] == brute_top_k(rows, 50)
+    got = topk.search(df, F.pmod("vec_id", F.lit(50)) == 0, query_block=block, sample_rows=64, pivots=5)
+    assert ranked(got) == brute_top_k(rows, 50)
+
+
+def test_most_annuli_of_clustered_vectors_stay_closed(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ANNULUS", 32)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 16))
+    centers *= 4 / np.linalg.norm(centers, axis=1)[:, None]
+    rows = [(i, (centers[i % 40] + rng.normal(size=16) / 50).tolist()) for i in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.candidates(df, F.pmod("vec_id", F.lit(50)) == 0, query_block=40, pivots=40)
+    assert topk.opened(found, 160, len(rows)) < 0.1
+    read = found.where("query IS NULL").agg(F.sum("score")).collect()[0][0]  # what the ranges let into the tasks at all
+    assert read < 0.5 * 160 * len(rows)
+    x = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
+    want = []
+    for q in range(0, 8000, 50):
+        score = x @ x[q]
+        score[q] = -(2**62)
+        want += [(q, n + 1, int(j), int(score[j])) for n, j in enumerate(np.lexsort((np.arange(8000), -score))[:5])]
+    assert ranked(topk.best(found)) == want
 
 
 def test_top_k_of_odd_vectors(spark):
-    rows = [(0, [1.0, 2.0], "x"), (1, None, "x"), (2, [float("nan"), 1.0], "x"), (3, [None, 1.0], "x"), (4, [1.0], "x"), (5, [], "x"), (6, [float("inf"), 0.0], "x"),
-            (50, [0.5, -0.501], "x"), (51, [0.5, 0.5], "x"), (51, [0.5, 0.5], "x"), (None, [1.0, 1.0], "x"), (100, None, "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = [tuple(r) for r in topk.report(df).orderBy("query_id", "rank").collect()]
-    kept = [(r[0], r[1]) for r in rows if r[0] in (0, 50, 51)]
-    assert got == brute_top_k(kept, 50) and {r[0] for r in got} == {0, 50}
+    odd = [(1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (6, [float("inf"), 0.0]), (8, [1e300, 0.0]), (None, [1.0, 1.0]), (100, None)]
+    good = [(0, [1.0, 2.0]), (4, [1.0]), (5, []), (50, [0.5, -0.501]), (51, [0.5, 0.5]), (51, [0.5, 0.5]), (0, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, "x") for r in odd + good], "vec_id long, embedding array<double>, score string").withColumns({c: F.lit(1) for c in ("at", "asked", "query", "pivot", "block")})
+    assert ranked(topk.report(df)) == brute_top_k(good, 50)
     assert topk.report(df.limit(0)).count() == 0
-    large = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e7, 1.0]), (2, [1e7, 0.0])], "vec_id long, embedding array<double>")
-    big = int(256 * 1e7)
-    assert [(r.vec_id, r.score) for r in topk.report(large).orderBy("rank").collect()] == [(1, big * big + 65536), (2, big * big)]
+    assert ranked(topk.report(spark.createDataFrame([(0, [])], "vec_id long, embedding array<double>"))) == []
+    large = [(0, [1e7, 1.0]), (1, [1e7, 1.0]), (2, [1e7, 0.0]), (3, [2e9, 1.0]), (4, [3e15, 3e15]), (50, [-3e15, 1.0]), (5, [3e15, 0.0])]  # beyond 53 and 63 bits
+    assert ranked(topk.report(spark.createDataFrame(large, "vec_id long, embedding array<double>"))) == brute_top_k(large, 50)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_top_k_of_the_test_data(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
-    got = [tuple(r) for r in QUERIES["op1_exact_top_k"](spark, DATA).orderBy("query_id", "rank").collect()]
-    assert got == brute_top_k(rows, 50)
+    assert ranked(QUERIES["op1_exact_top_k"](spark, DATA)) == brute_top_k(rows, 50)

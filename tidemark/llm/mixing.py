@@ -8,18 +8,17 @@ first, so the water level is found with prefix sums over one row per source.
 Positions: every source has a schedule, a piecewise-linear weight over training time 0..1. Its
 integral says which share of the source's target is due by a time; the inverse of that integral
 takes a document's place in the source's cumulative demand to a time, its training position.
-The documents of a source come in the order of a keyed hash of their id. A second epoch repeats
-that order. The document at which the target is reached is cut after its last word taken.
+The documents of a source come in the order of a keyed hash of their id and text. A second epoch
+repeats that order. The document at which the target is reached is cut after its last word taken.
 
 Offsets are two-pass prefix sums: sizes by (source, hash range), then running sums of the ranges
 of a source (in two levels) and of the documents in a range. The number of ranges follows the number
 of documents, so a source that holds a third of all rows is spread over all of them.
 
 Defined results for odd input: a null text has no words, and documents without words have size and
-taken 0 and no position; a null ``doc_id`` hashes like an empty one; repeated rows are documents of
-their own; ties in the hash are ordered by id, size and a hash of the text; an empty table gives an
-empty result; an input column named like one that :func:`assign` adds is replaced, in :func:`mix`
-all input columns come back (their names must not begin with ``_mix_``).
+taken 0 and no position; null ids and ids given many times are told apart by their texts; repeated rows
+are documents of their own; an empty table gives an empty result; an input column named like one that
+:func:`assign` adds is replaced; all others come back, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ DIGITS = 15
 
 
 def order_key(seed: int) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_or_empty()).cast("binary"))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
@@ -93,70 +92,64 @@ def _running(ranges: DataFrame) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("range_size").over(window), F.lit(0))
 
-    coarse = ranges.groupBy("_mix_name", "coarse").agg(F.sum("range_size").alias("range_size"))
-    coarse = coarse.select("_mix_name", "coarse", before(["_mix_name"], "coarse").alias("above"))
-    fine = ranges.select("_mix_name", "coarse", "_mix_range", before(["_mix_name", "coarse"], "_mix_range").alias("within"))
-    return fine.join(coarse, ["_mix_name", "coarse"]).select("_mix_name", "_mix_range", (F.col("above") + F.col("within")).alias("_mix_base"))
+    coarse = ranges.groupBy("name", "coarse").agg(F.sum("range_size").alias("range_size"))
+    coarse = coarse.select("name", "coarse", before(["name"], "coarse").alias("above"))
+    fine = ranges.select("name", "coarse", "range", before(["name", "coarse"], "range").alias("within"))
+    return fine.join(coarse, ["name", "coarse"]).select("name", "range", (F.col("above") + F.col("within")).alias("base"))
 
 
-def _place(docs: DataFrame, seed: int, schedules, rows_per_range: int) -> DataFrame:
-    """``docs``, whose ``_mix_size`` and ``_mix_tie`` are there or come from the text, with all other ``_mix_`` columns."""
-    bits = max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_range)))
-    keyed = docs if "_mix_size" in docs.columns else sized(docs)
-    keyed = keyed.withColumn("_mix_key", order_key(seed)).withColumn("_mix_range", F.shiftright("_mix_key", 4 * DIGITS - bits))
+def sized(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
+    """What places a document: ``doc_id, source, size, key``; with ``whole``, also its ``row``."""
+    row = [F.struct("*").alias("row")] if whole else []
+    return docs.select("doc_id", "source", count_words(text_or_empty()).alias("size"), order_key(seed).alias("key"), *row)
+
+
+def placed(found: DataFrame, seed: int, schedules, rows_per_range: int) -> DataFrame:
+    """The rows of :func:`sized` with their place: ``source_size, target, take_1, take_2, taken, position_1, position_2``."""
+    bits = max(0, math.ceil(math.log2(max(1, found.count()) / rows_per_range)))
     named = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    keyed = keyed.withColumn("_mix_name", named)
+    keyed = found.withColumns({"range": F.shiftright("key", 4 * DIGITS - bits), "name": named})
 
-    group = ["_mix_name", "_mix_range"]
-    ranges = materialize(keyed.groupBy("source", *group).agg(F.sum("_mix_size").alias("range_size")), "mix-ranges")
-    wanted = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
-    wanted = wanted.select(named.alias("_mix_name"), *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "place", "target")))
-    bases = _running(ranges.withColumn("coarse", F.shiftright("_mix_range", bits // 2))).join(wanted, "_mix_name")
+    group = ["name", "range"]
+    ranges = materialize(keyed.groupBy("source", *group).agg(F.sum("size").alias("range_size")), "mix-ranges")
+    wanted = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))).withColumn("name", named).drop("source")
+    bases = _running(ranges.withColumn("coarse", F.shiftright("range", bits // 2))).join(wanted, "name")
 
-    order = ("_mix_key", "doc_id", "_mix_size", "_mix_tie")
+    order = ("key", "doc_id", "size")
     within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.join(bases, group).withColumn("_mix_start", F.col("_mix_base") + F.sum("_mix_size").over(within) - F.col("_mix_size"))
-    start, size, whole = F.col("_mix_start"), F.col("_mix_size"), F.col("_mix_source_size")
-    quota = F.floor("_mix_target").cast("long")
-    takes = placed.withColumns({"_mix_take_1": _overlap(start, size, F.least(quota, whole)), "_mix_take_2": _overlap(start, size, quota - whole)})
+    begun = keyed.join(bases, group).withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size"))
+    start, size, whole = F.col("start"), F.col("size"), F.col("source_size")
+    quota = F.floor("target").cast("long")
+    takes = begun.withColumns({"take_1": _overlap(start, size, F.least(quota, whole)), "take_2": _overlap(start, size, quota - whole)})
 
     def position(take: str, offset: Column) -> Column:
-        share = (offset + F.col(take) / 2) / F.col("_mix_target")
+        share = (offset + F.col(take) / 2) / F.col("target")
         by_place = F.lit(None).cast("double")
         for place in range(len(schedules)):
-            by_place = F.when(F.col("_mix_place") == place, time_of(share, schedules[place])).otherwise(by_place)
+            by_place = F.when(F.col("place") == place, time_of(share, schedules[place])).otherwise(by_place)
         return F.when(F.col(take) > 0, by_place)
 
-    return takes.withColumns(
-        {
-            "_mix_taken": F.col("_mix_take_1") + F.col("_mix_take_2"),
-            "_mix_position_1": position("_mix_take_1", start),
-            "_mix_position_2": position("_mix_take_2", whole + start),
-        }
-    )
+    return takes.withColumns({"taken": F.col("take_1") + F.col("take_2"), "position_1": position("take_1", start), "position_2": position("take_2", whole + start)})
 
 
 ADDED = ("size", "source_size", "target", "taken", "take_1", "take_2", "position_1", "position_2")
+REPORTED = ("size", "source_size", "target", "taken", "position_1", "position_2")
 
 
 def assign(docs: DataFrame, seed: int = 0, schedules=SCHEDULES, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken``, and words and position of either epoch (``take_1`` ...)."""
-    found = _place(docs, seed, schedules, rows_per_range)
-    return found.select(*(c for c in docs.columns if c not in ADDED), *(F.col(f"_mix_{c}").alias(c) for c in ADDED))
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.withColumns({"_mix_size": count_words(text), "_mix_tie": F.xxhash64(text)})
+    found = placed(sized(docs, seed, whole=True), seed, schedules, rows_per_range)
+    return found.select(F.struct("row.*").dropFields(*ADDED).alias("row"), *ADDED).select("row.*", *ADDED)
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """What the mix takes of every document, in training order: by its first position, untaken ones last. The text is read once; the rest works on ids and sizes."""
-    slim = materialize(sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
-    found = _place(slim, seed, SCHEDULES, ROWS_PER_RANGE)
-    order = (F.asc_nulls_last("_mix_position_1"), F.asc_nulls_last("_mix_position_2"), F.asc("_mix_key"))
-    found = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    return found.select("doc_id", *(F.col(f"_mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "position_1", "position_2")))
+    """What the mix takes of every document, and when, in training order: by first position, untaken documents last.
+
+    The text is read once; the rest works on ids and sizes.
+    """
+    found = placed(materialize(sized(docs, seed), "mix-sizes"), seed, SCHEDULES, ROWS_PER_RANGE)
+    order = (F.asc_nulls_last("position_1"), F.asc_nulls_last("position_2"), F.asc("key"))
+    return found.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", *REPORTED)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -180,13 +173,14 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     ``n_chars``, where there is one, follows the text of a document that the target cuts.
     """
-    found = _place(docs, seed, SCHEDULES, ROWS_PER_RANGE)
-    epochs = F.array(*(F.struct(F.col(f"_mix_take_{k}").alias("take"), F.col(f"_mix_position_{k}").alias("position")) for k in (1, 2)))
-    rows = found.withColumn("_mix_epoch", F.explode(F.filter(epochs, lambda e: e["take"] > 0)))
-    take = F.col("_mix_epoch.take")
-    rows = rows.withColumn("_mix_cut", take < F.col("_mix_size"))
-    rows = rows.withColumn("text", F.when(F.col("_mix_cut"), first_words(F.col("text"), take)).otherwise(F.col("text")))
+    found = placed(sized(docs, seed, whole=True), seed, SCHEDULES, ROWS_PER_RANGE)
+    epochs = F.array(*(F.struct(F.col(f"take_{k}").alias("take"), F.col(f"position_{k}").alias("position")) for k in (1, 2)))
+    rows = found.withColumn("epoch", F.explode(F.filter(epochs, lambda e: e["take"] > 0)))
+    order = ("epoch.position", "key", "epoch.take")
+    dealt = rows.select("row", "epoch", "key", "size").repartitionByRange(*order).sortWithinPartitions(*order)
+    take, cut, row = F.col("epoch.take"), F.col("epoch.take") < F.col("size"), F.col("row")
+    text = F.when(cut, first_words(row["text"], take)).otherwise(row["text"])
+    row = row.withField("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_mix_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    order = ("_mix_epoch.position", "_mix_key", "_mix_epoch.take")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+        row = row.withField("n_chars", F.when(cut, F.length(text).cast("long")).otherwise(F.col("row")["n_chars"]))
+    return dealt.select(row.alias("row")).select("row.*")

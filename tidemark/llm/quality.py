@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Each rule is a rejection test built from text statistics. A bounded sample gives every rule's
-cost (seconds for the sample) and selectivity (share rejected); the rules then run in descending
-order of rejection per cost. The order decides how much work is done, never which documents stay:
-a document is kept if no rule rejects it.
-
-Every statistic is one self-contained expression of the text, so that the CASE of
-:func:`cascade` evaluates a statistic only for documents that no earlier rule rejected.
+Each rule is a rejection test on text statistics. A bounded sample gives every rule's cost (the
+characters that its statistics read, by the work each takes for a character) and selectivity (the
+documents that it rejects); the cascade takes, again and again, the rule that rejects most of what is
+left for its cost, statistics that an earlier rule has computed being free. The order decides how
+much work is done, never which documents stay: a document is kept if no rule rejects it. The
+estimates are counts, so the same table always gives the same order.
+
+The cascade is one expression: a statistic is computed when the first rule that needs it is reached,
+is bound there for all later rules, and is not computed for a document that is already rejected.
 No operator here shuffles; a document is judged by the task that reads it.
 
 Defined results for odd input: a null or blank text has no words and is rejected by ``min_words``;
@@ -16,9 +18,9 @@ table gives an empty result; an input column named like an added one is replaced
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,108 +109,128 @@ def n_capitals(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long")
 
 
-STATISTICS: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_lines": n_lines,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
-    "n_capitals": n_capitals,
+@dataclass(frozen=True)
+class Statistic:
+    """``work``: what it takes for a character of text, as a multiple of a plain pattern count."""
+
+    of: Callable[[Column], Column]
+    work: float
+
+
+STATISTICS: dict[str, Statistic] = {
+    "n_words": Statistic(n_words, 1.0),
+    "word_chars": Statistic(word_chars, 1.0),
+    "n_symbols": Statistic(n_symbols, 1.0),
+    "n_lines": Statistic(n_lines, 1.5),
+    "n_dup_lines": Statistic(n_dup_lines, 2.0),
+    "n_repeat_words": Statistic(n_repeat_words, 6.0),
+    "n_capitals": Statistic(n_capitals, 1.0),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-Statistic = Callable[[str], Column]
-
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` builds a boolean column from statistics asked for by name."""
+    """``rejects`` builds a boolean column from the statistics that it ``needs``, given by name."""
 
     name: str
-    rejects: Callable[[Statistic], Column]
+    needs: tuple[str, ...]
+    rejects: Callable[[Mapping[str, Column]], Column]
 
 
-MIN_WORDS = Rule("min_words", lambda s: s("n_words") < 50)
-REPEATS = Rule("repeats", lambda s: 100 * s("n_repeat_words") > 50 * s("n_words"))
-#: The two rules of ``base_failed`` come with the others; their order is estimated like the rest.
+MIN_WORDS = Rule("min_words", ("n_words",), lambda s: s["n_words"] < 50)
+REPEATS = Rule("repeats", ("n_repeat_words", "n_words"), lambda s: 100 * s["n_repeat_words"] > 50 * s["n_words"])
+#: The two rules of ``base_failed``.
+BASE_RULES = (MIN_WORDS, REPEATS)
 RULES = (
-    MIN_WORDS,
-    REPEATS,
-    Rule("symbols", lambda s: 100 * s("n_symbols") > 30 * s("n_words")),
-    Rule("duplicate_lines", lambda s: (s("n_dup_lines") >= 4) & (100 * s("n_dup_lines") > 30 * s("n_lines"))),
-    Rule("word_length", lambda s: (s("word_chars") < 2 * s("n_words")) | (s("word_chars") > 20 * s("n_words"))),
-    Rule("shouting", lambda s: 100 * s("n_capitals") > 50 * s("word_chars")),
+    *BASE_RULES,
+    Rule("symbols", ("n_symbols", "n_words"), lambda s: 100 * s["n_symbols"] > 30 * s["n_words"]),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda s: (s["n_dup_lines"] >= 4) & (100 * s["n_dup_lines"] > 30 * s["n_lines"])),
+    Rule("word_length", ("word_chars", "n_words"), lambda s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 20 * s["n_words"])),
+    Rule("shouting", ("n_capitals", "word_chars"), lambda s: 100 * s["n_capitals"] > 50 * s["word_chars"]),
 )
 
 
-def of_text(text: Column) -> Statistic:
-    """Statistics computed from the text at the place where they are asked for."""
-    return lambda name: STATISTICS[name](text)
-
-
 @dataclass(frozen=True)
 class Estimate:
-    rule: Rule
-    seconds: float
-    rejected: float
+    """Of a rule at its place in the order: the work on the sample's documents that are left there, and how many of them it rejects."""
 
-    @property
-    def gain(self) -> float:
-        return self.rejected / max(self.seconds, 1e-6)
+    rule: Rule
+    cost: float
+    rejected: int
+    left: int
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on at most ``sample_rows`` documents, best rule first.
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[Estimate]:
+    """The rules in the order of the cascade, by at most ``sample_rows`` documents; the statistics in ``known`` are free.
 
-    The sample is drawn by a hash of the text, from as few partitions as hold enough rows, and goes
-    through the driver, so it costs the same however large the table. Equal gains keep the given order.
+    The sample is drawn by a hash of the text, from as few partitions as hold enough rows; of each of
+    its documents one number and one flag per rule come to the driver. Equal gains keep the given order.
     """
-    picked = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows).collect()
-    if not picked:
-        return [Estimate(rule, 1.0, 0.0) for rule in rules]
-    rows = docs.sparkSession.createDataFrame(picked, "text string").persist()
-    try:
-        found = []
-        for rule in rules:
-            tested = rows.select(F.sum(rule.rejects(of_text(F.col("text"))).cast("long")).alias("n"))
-            tested.collect()  # compiles the plan's code, which is not the rule's cost
-            began = time.perf_counter()
-            rejected = tested.collect()[0]["n"] or 0
-            found.append(Estimate(rule, time.perf_counter() - began, rejected / len(picked)))
-        return sorted(found, key=lambda e: -e.gain)
-    finally:
-        rows.unpersist()
-
-
-def cascade(order: list[Rule], statistic: Statistic) -> Column:
-    """Name of the first rule of ``order`` that rejects, else null; later rules are not evaluated."""
-    verdict = F.lit(None).cast("string")
-    for rule in reversed(order):
-        verdict = F.when(F.coalesce(rule.rejects(statistic), F.lit(False)), F.lit(rule.name)).otherwise(verdict)
-    return verdict
+    text = F.col("text")
+    picked = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows)
+    names = dict.fromkeys(n for rule in rules for n in rule.needs)
+    held = picked.select(F.length(text).alias("chars"), *(STATISTICS[n].of(text).alias(n) for n in names))
+    flags = [F.coalesce(rule.rejects({n: F.col(n) for n in rule.needs}), F.lit(False)) for rule in rules]
+    left = [(r["chars"] + 1, r["flags"]) for r in held.select("chars", F.array(*flags).alias("flags")).collect()] if rules else []
+    there, open_, found = set(known), list(range(len(rules))), []
+    while open_:
+        chars = sum(c for c, _ in left)
+
+        def gain(k: int) -> tuple[int, float]:
+            work = sum(STATISTICS[n].work for n in rules[k].needs if n not in there)
+            return sum(f[k] for _, f in left), (work + 0.01) * chars  # noqa: B023
+
+        # Most rejections for the cost first; rules that reject nothing by cost.
+        best = max(open_, key=lambda k: (gain(k)[0] / max(gain(k)[1], 1.0), -gain(k)[1], -k))  # noqa: B023
+        found.append(Estimate(rules[best], gain(best)[1], gain(best)[0], len(left)))
+        left = [x for x in left if not x[1][best]]
+        there |= set(rules[best].needs)
+        open_.remove(best)
+    return found
+
+
+def cascade(order: Sequence[Rule], text: Column, known: Mapping[str, Column] | None = None) -> Column:
+    """Name of the first rule of ``order`` that rejects, else null; what only later rules need is not computed."""
+    known = dict(known or {})
+    if not order:
+        return F.lit(None).cast("string")
+    rule, rest = order[0], order[1:]
+    missing = [n for n in rule.needs if n not in known]
+
+    def verdict(bound: Mapping[str, Column]) -> Column:
+        return F.when(F.coalesce(rule.rejects(bound), F.lit(False)), F.lit(rule.name)).otherwise(cascade(rest, text, bound))
+
+    if not missing:
+        return verdict(known)
+    return let(F.struct(*(STATISTICS[n].of(text).alias(n) for n in missing)), lambda s: verdict(known | {n: s[n] for n in missing}))
+
+
+def _order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int, known: tuple[str, ...] = ()) -> list[Rule]:
+    return [e.rule for e in estimate(docs, rules, sample_rows, known)]
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with ``failed_rule`` (null: none) and ``kept``."""
-    order = [e.rule for e in estimate(docs, rules, sample_rows)]
-    return docs.withColumn("failed_rule", cascade(order, of_text(text_or_empty()))).withColumn("kept", F.col("failed_rule").isNull())
+    verdict = cascade(_order(docs, rules, sample_rows), text_or_empty())
+    return docs.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with the columns of ``docs``."""
-    order = [e.rule for e in estimate(docs, rules, sample_rows)]
-    return docs.where(cascade(order, of_text(text_or_empty())).isNull())
+    return docs.where(cascade(_order(docs, rules, sample_rows), text_or_empty()).isNull())
 
 
-def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The base statistics of every document, ``base_failed`` and the cascade's verdict ``kept``.
 
-    All statistics are wanted here, so the cascade reads them from their columns.
+    The base statistics are wanted for every row; the other rules follow in the order of the cascade, for the
+    documents that pass the base rules only, and so do the statistics that only they need.
     """
-    order = [e.rule for e in estimate(docs, rules, sample_rows)]
+    order = _order(docs, tuple(r for r in RULES if r not in BASE_RULES), sample_rows, BASE)
     text = F.col("text")
-    names = dict.fromkeys((*BASE, "n_lines", "n_capitals"))
-    stats = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", *(STATISTICS[n](text).alias(n) for n in names))
-    base = MIN_WORDS.rejects(F.col) | REPEATS.rejects(F.col)
-    return stats.select("doc_id", *BASE, base.alias("base_failed"), (~base & cascade(order, F.col).isNull()).alias("kept"))
+    stats = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", *(STATISTICS[n].of(text).alias(n) for n in BASE))
+    known = {n: F.col(n) for n in BASE}
+    judged = stats.withColumn("base_failed", reduce(Column.__or__, (r.rejects(known) for r in BASE_RULES)))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order, text, known).isNull())
+    return judged.select("doc_id", *BASE, "base_failed", kept.alias("kept"))

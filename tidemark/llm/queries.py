@@ -39,8 +39,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.report(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.report(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
