@@ -1,11 +1,13 @@
 """Token streams, packing and shards: exact round trips."""
 
+import math
 import random
 import shutil
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tidemark.llm import packing, shards
 from tidemark.llm.tokens import _PLAIN, encoder, vocabulary_path
@@ -19,8 +21,11 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(4).cache()
 
 
+OWN = Tokenizer.from_file(vocabulary_path())
+
+
 def ids_of(text):
-    return encoder(vocabulary_path()).slow.encode(text or "", add_special_tokens=False).ids + [0]
+    return OWN.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_both_encoders_agree_on_plain_text():
@@ -79,6 +84,68 @@ def test_permutation(n):
         assert abs(np.corrcoef(np.arange(n), x)[0, 1]) < 0.2
 
 
+def feistel(n, key, number):
+    """Where a number of 0..n-1 goes, in plain integers, as the module describes it."""
+    bits = max(1, math.ceil(math.log2(n) / 2)) if n > 1 else 1
+    mask, word = (1 << bits) - 1, (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    while True:
+        left, right = number >> bits, number & mask
+        for r in range(6):
+            left, right = right, left ^ (mix(right ^ mix((key + (r + 1) * 0x9E3779B97F4A7C15) & word)) & mask)
+        number = left << bits | right
+        if number < n:
+            return number
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000])
+def test_permutation_is_the_feistel_network(n):
+    for key in (shards.KEY, 0, 2**64 - 1):
+        assert shards.Permutation(n, key)(range(n)).tolist() == [feistel(n, key, k) for k in range(n)]
+
+
+def test_query_writes_every_document_to_its_slots(spark, tmp_path):
+    """The whole table: read back from disk without the package, every shard holds the stream's windows where the permutation says."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index = shards.training_shards(table, f"file://{tmp_path}/s", shard_rows=100).collect()
+    stream = [i for r in table.collect() for i in ids_of(r.text)]  # one file: its rows in order
+    n = -(-len(stream) // 1024)
+    data = b"".join((tmp_path / "s" / f"shard-{k:08d}.bin").read_bytes() for k in range(-(-n // 100)))
+    held = np.frombuffer(data, "<u2").reshape(n, 1024)
+    for k in range(n):
+        ids = stream[1024 * k : 1024 * (k + 1)]
+        assert held[feistel(n, shards.KEY, k)].tolist() == ids + [shards.PAD] * (1024 - len(ids))
+    assert {(r.slot, r.sequence_id, r.n_tokens) for r in index} == {(feistel(n, shards.KEY, k), k, min(1024, len(stream) - 1024 * k)) for k in range(n)}
+
+
+def test_a_lost_fragment_is_a_gap(docs, tmp_path):
+    stream = packing.tokenize(docs)
+    stream.table = stream.table.where("doc_id = 6 OR doc_id = 7")  # the others' places stay empty
+    with pytest.raises(Exception, match="gaps"):
+        shards.write(stream, f"file://{tmp_path}/gaps", length=16).collect()
+
+
+def test_other_splits_resume_and_other_file_systems_are_refused_early(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    spark.range(300).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(2).write.option("parquet.block.size", 1024).parquet(path)
+    first = shards.training_shards(spark.read.parquet(path), f"file://{tmp_path}/r", length=16).collect()
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        again = shards.training_shards(spark.read.parquet(path), f"file://{tmp_path}/r", length=16).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert sorted(first) == sorted(again)
+    assert [shards.plain_uri(u) for u in ("s3a://bucket/x", "s3://b", "file:///x")] == ["s3://bucket/x", "s3://b", "file:///x"]
+    with pytest.raises(ValueError, match="wasbs"):
+        shards.training_shards(None, "wasbs://x@y/z")
+
+
 def test_shards_round_trip_and_resume(docs, tmp_path):
     stream = packing.tokenize(docs)
     length, rows = 16, 37
@@ -102,9 +169,7 @@ def test_shards_round_trip_and_resume(docs, tmp_path):
 
 
 def test_added_tokens_keep_their_ids():
-    from tokenizers import Tokenizer
-
-    e, own = encoder(vocabulary_path()), Tokenizer.from_file(vocabulary_path())
+    e, own = encoder(vocabulary_path()), OWN
     for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext| >", "語 <|endoftext|>", "a < | b"):
         assert e(t).tolist() == own.encode(t, add_special_tokens=False).ids, t
     assert e("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]

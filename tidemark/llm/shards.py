@@ -12,7 +12,7 @@ size is a parameter) and publishes the file by renaming, so a repeated or lost t
 the whole file or none. A later run with the same input and key skips the shards that are there.
 
 Defined results for odd input: the last sequence is padded with ``pad`` and its length is in the
-index; an empty table gives no shards and an empty index; null and empty texts, long texts and
+index; a shard whose sequences are not whole is an error; an empty table gives no shards and an empty index; null and empty texts, long texts and
 repeated rows are treated as in packing.
 """
 
@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,18 +126,31 @@ def _deal(batches, stream_parts, length, dtype, n, key, shard_rows, done) -> Ite
         yield batch([block(k) for k in list(held)])
 
 
-def _write(batches, out, length, dtype, n, shard_rows, pad) -> Iterator[pa.RecordBatch]:
+def plain_uri(out: str) -> str:
+    """The URI with the scheme that Arrow has for it."""
+    return re.sub(r"^s3[an]://", "s3://", out)
+
+
+def file_system(out: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI, and the path in it."""
+    try:
+        return pyarrow.fs.FileSystem.from_uri(plain_uri(out))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"shards cannot be written to {out}: {e}") from None
+
+
+def _write(batches, out, length, dtype, tokens, n, shard_rows, pad) -> Iterator[pa.RecordBatch]:
     """Fill one shard after the other (blocks come sorted by shard), publish it, and emit its index."""
     from pyspark import TaskContext
 
-    fs, root = pyarrow.fs.FileSystem.from_uri(out)
+    fs, root = file_system(out)
     unpacker = zstandard.ZstdDecompressor()
     shard, rows, sequence, filled = -1, None, None, None
 
     def publish():
         first = shard * shard_rows
         count = min(shard_rows, n - first)
-        if (filled[:count] == 0).any():
+        if (filled[:count] != np.minimum(length, tokens - sequence[:count] * length)).any():
             raise RuntimeError(f"shard {shard} has gaps")
         task = TaskContext.get().taskAttemptId()
         name, temporary = _file(root, shard), f"{root}/_writing-{shard:08d}-{task}"
@@ -173,7 +188,7 @@ def _index(slots, sequence, filled, rows, shard, shard_rows) -> pa.RecordBatch:
 
 def _reread(batches, out, length, dtype, tokens, n, key, shard_rows) -> Iterator[pa.RecordBatch]:
     """The index of shards that an earlier run has published."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(out)
+    fs, root = file_system(out)
     permutation = Permutation(n, key)
     for batch in batches:
         for shard in batch.column("id").to_pylist():
@@ -184,9 +199,17 @@ def _reread(batches, out, length, dtype, tokens, n, key, shard_rows) -> Iterator
             yield _index(slots, sequence, np.minimum(length, tokens - sequence * length), rows, shard, shard_rows)
 
 
+def _digest(batches, bases, parts) -> Iterator[pa.RecordBatch]:
+    """A checksum of the tokens and their places in the stream, however the input is split."""
+    for batch in batches:
+        begin = bases[np.searchsorted(parts, batch.column("part").to_numpy())] + batch.column("at").to_numpy()
+        found = [xxhash.xxh3_64_intdigest(x.as_buffer(), b) >> 1 for x, b in zip(batch.column("ids"), begin.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+
+
 def read_slots(out: str, first: int, count: int) -> np.ndarray:
     """``count`` sequences of the training order from slot ``first`` on, as rows of ids."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(out)
+    fs, root = file_system(out)
     with fs.open_input_file(f"{root}/manifest.json") as file:
         m = json.loads(file.read())
     stride, dtype = m["length"] * np.dtype(m["dtype"]).itemsize, np.dtype(m["dtype"])
@@ -209,9 +232,10 @@ def write(stream: Stream, out: str, key: int = KEY, length: int = LENGTH, shard_
     spark = stream.table.sparkSession
     n = stream.sequences(length)
     shards = -(-n // shard_rows)
-    check = stream.table.agg(F.sum(F.xxhash64("part", "at", "ids").cast("decimal(38,0)")).cast("string").alias("h")).collect()[0]["h"]
+    digests = map_arrow(stream.table.select("part", "at", "ids"), functools.partial(_digest, bases=stream.bases, parts=stream.parts), "h long")
+    check = str(digests.agg(F.sum(F.col("h").cast("decimal(38,0)"))).collect()[0][0])
     manifest = {"sequences": n, "tokens": stream.tokens, "length": length, "dtype": stream.dtype.str, "shard_rows": shard_rows, "key": key, "pad": pad, "rounds": ROUNDS, "input": check}
-    fs, root = pyarrow.fs.FileSystem.from_uri(out)
+    fs, root = file_system(out)
     fs.create_dir(root, recursive=True)
     there = fs.get_file_info(f"{root}/manifest.json")
     if there.type == pyarrow.fs.FileType.File:
@@ -225,7 +249,7 @@ def write(stream: Stream, out: str, key: int = KEY, length: int = LENGTH, shard_
     done = {k for k in range(shards) if f"shard-{k:08d}.bin" in names}
 
     deal = functools.partial(_deal, stream_parts=(stream.bases, stream.parts), length=length, dtype=stream.dtype, n=n, key=key, shard_rows=shard_rows, done=done)
-    fill = functools.partial(_write, out=out, length=length, dtype=stream.dtype, n=n, shard_rows=shard_rows, pad=pad)
+    fill = functools.partial(_write, out=out, length=length, dtype=stream.dtype, tokens=stream.tokens, n=n, shard_rows=shard_rows, pad=pad)
     again = functools.partial(_reread, out=out, length=length, dtype=stream.dtype, tokens=stream.tokens, n=n, key=key, shard_rows=shard_rows)
     blocks = map_arrow(stream.table, deal, "shard int, head binary, data binary")
     dealt = blocks.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard")
@@ -241,4 +265,6 @@ def write(stream: Stream, out: str, key: int = KEY, length: int = LENGTH, shard_
 
 def training_shards(docs: DataFrame, out: str | None = None, vocabulary: str | None = None, **options) -> DataFrame:
     """Tokenize, pack, permute and write ``docs``; the index of all sequences."""
+    if out:
+        file_system(out)
     return write(tokenize(docs, vocabulary), out or shared_path(docs.sparkSession, "shards"), **options)
