@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_native import WORD, brute_quality, brute_targets
-from tests.llm.test_pairs import brute_components, brute_fingerprint
+from tests.llm.test_pairs import brute_groups
 from tests.llm.test_tokens import ids_of
 from tidemark.llm import quality, toxicity
 from tidemark.llm._shared import materialize
@@ -47,9 +47,9 @@ def test_toxicity(kept, spark):
 
 
 def test_duplicates(kept):
-    docs = kept[2].collect()
-    roots = brute_components([brute_fingerprint(r.text) for r in docs], [r.doc_id for r in docs])
-    assert sorted(r.doc_id for r in kept[3].collect()) == sorted(set(roots))
+    docs = sorted(kept[2].collect(), key=lambda r: r.doc_id)
+    roots = set(brute_groups([r.text for r in docs]))
+    assert sorted(r.doc_id for r in kept[3].collect()) == [r.doc_id for k, r in enumerate(docs) if k in roots]
 
 
 def test_mix(kept):
