@@ -379,6 +379,7 @@ def near_links(docs: DataFrame, entries: DataFrame, words: int, similarity: floa
     candidates = _grouped(rows, math.ceil(rows.count() / TASK_ROWS)).applyInArrow(_two(functools.partial(_candidates, budget=budget)), f"{ROWS}, task long")
     candidates = materialize(candidates.drop("task"), "candidates")
     wanted = entries.select("node", F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")).join(candidates.select("node").distinct(), "node", "left_semi")
+    wanted = materialize(wanted, "wanted")  # if it is small, its size says so, and the texts need no shuffle
     found = _plain(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")))
     found = found.dropDuplicates(["node"])
     sets = materialize(map_arrow(found.select("node", "text"), functools.partial(_sets, words=words), "node long, held binary"), "shingles")
