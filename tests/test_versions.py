@@ -138,5 +138,5 @@ def test_plans_ship_one_version_per_key(spark, tmp_path):
     assert kept.count("Exchange") == 1 and "GreaterThan(ts,500)" in kept
     assert "Exchange" not in plan_of(versions.history(df, V, 3))
     assert "TakeOrderedAndProject" in plan_of(versions.point_get(df, V, 3))
-    lookup = plan_of(versions.as_of_lookup(df.selectExpr("k", "ts AS at"), df, V, "at"))
+    lookup = plan_of(versions.as_of_lookup(df.selectExpr("k", "ts AS at"), df, V, "at", None))
     assert "Join" not in lookup and lookup.count("Exchange") == 1

@@ -133,7 +133,7 @@ def gc_obsolete(df: DataFrame, v: Versions, low_water: int) -> DataFrame:
     return df.groupBy(*v.keys).agg((F.greatest(n_old - 1, F.lit(0))).cast("long").alias("n_obsolete")).where(F.col("n_obsolete") > 0)
 
 
-def as_of_lookup(probe: DataFrame, df: DataFrame, v: Versions, at: str, width: int | None = None) -> DataFrame:
+def as_of_lookup(probe: DataFrame, df: DataFrame, v: Versions, at: str, width: int | None) -> DataFrame:
     """For every probe row (key columns and a time ``at``) the live version of its key at that time.
 
     Probes and versions are sorted together, and every probe takes the last version before it: rows
@@ -162,6 +162,7 @@ def as_of_lookup(probe: DataFrame, df: DataFrame, v: Versions, at: str, width: i
     return found.select(*(F.col(f"_p{i}").alias(c) for i, c in enumerate(probe.columns)), *(F.col(f"_found.{c}").alias(c) for c in values))
 
 
-def first_last(df: DataFrame, key: str) -> DataFrame:
-    """Smallest and largest key and the number of rows."""
+def first_last(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Smallest and largest key (a struct, if it has several columns) and the number of rows."""
+    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
     return df.agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.checksums import record_crc
 from tidemark.operators.versions import first_per_key
+from tidemark.sources.manifest import Store
 
 CHECKED = ("segment", "offset", "op", "key", "ts", "value")
 
@@ -54,3 +55,23 @@ def prune_segments(log: DataFrame, keep: int) -> DataFrame:
     """The newest ``keep`` segments."""
     newest = log.select("segment").distinct().withColumn("_n", F.row_number().over(Window.orderBy(F.desc("segment"))))
     return log.join(newest.where(F.col("_n") <= keep).select("segment"), "segment", "left_semi")
+
+
+def segment_of(offset: Column, records: int) -> Column:
+    """The segment of a record whose offset counts on over all segments: a new one begins every ``records`` records."""
+    return F.floor(offset / records).cast("long")
+
+
+def segments(spark: SparkSession, path: str) -> list[int]:
+    """The segments of a stored log, from its folders."""
+    return sorted(int(n.partition("=")[2]) for n in Store(spark, path).names("") if n.startswith("segment="))
+
+
+def remove_segments(spark: SparkSession, path: str, keep: int) -> list[int]:
+    """Delete the files of all but the newest ``keep`` segments of a stored log; the segments that went."""
+    held = segments(spark, path)
+    gone = held[: max(0, len(held) - keep)]
+    store = Store(spark, path)
+    for n in gone:
+        store.delete(f"segment={n}")
+    return gone

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.bounds import Bound
@@ -92,15 +92,36 @@ def prune_stats(stats: DataFrame, low: Any, high: Any) -> DataFrame:
     return stats.where((F.col("max_key") >= low) & (F.col("min_key") <= high))
 
 
-def overlap_pairs(stats: DataFrame, width: int) -> DataFrame:
-    """Pairs of runs (a < b) with overlapping integer key ranges, by an equi-join on cells of ``width`` keys.
+def overlap_pairs(stats: DataFrame, cells: int = 256) -> DataFrame:
+    """Pairs of runs (a < b) with overlapping numeric key ranges, by an equi-join on at most ``cells`` cells.
 
-    A pair meets in every cell that both cover; it is reported in the first of them.
+    The cells' edges are quantiles of the runs' smallest keys, so that their number does not depend on how
+    wide ranges are; a pair meets in every cell that both reach and is reported in the first.
     """
-    cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    cells = stats.select("run_id", "min_key", "max_key", F.explode(F.sequence(cell("min_key"), cell("max_key"))).alias("cell"))
-    a = cells.select(F.col("run_id").alias("a"), F.col("min_key").alias("a_low"), F.col("max_key").alias("a_high"), "cell")
-    b = cells.select(F.col("run_id").alias("b"), F.col("min_key").alias("b_low"), F.col("max_key").alias("b_high"), "cell")
+    edges = sorted(set(stats.approxQuantile("min_key", [k / cells for k in range(1, cells)], 1 / (4 * cells))))
+    cell = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c)) if edges else F.lit(0)
+    placed = stats.select("run_id", "min_key", "max_key", F.explode(F.sequence(cell(F.col("min_key")), cell(F.col("max_key")))).alias("cell"))
+    a = placed.select(F.col("run_id").alias("a"), F.col("min_key").alias("a_low"), F.col("max_key").alias("a_high"), "cell")
+    b = placed.select(F.col("run_id").alias("b"), F.col("min_key").alias("b_low"), F.col("max_key").alias("b_high"), "cell")
     meets = (F.col("a") < F.col("b")) & (F.col("a_low") <= F.col("b_high")) & (F.col("b_low") <= F.col("a_high"))
-    first = F.floor(F.greatest("a_low", "b_low") / width)
-    return a.join(b, "cell").where(meets & (F.col("cell") == first)).select("a", "b")
+    return a.join(b, "cell").where(meets & (F.col("cell") == cell(F.greatest("a_low", "b_low")))).select("a", "b")
+
+
+def _bits(key: str, hashes: int, bits: int) -> Column:
+    """The bits that a key sets: parts of its digest."""
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    return F.array(*(F.pmod(F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long"), F.lit(bits)) for k in range(hashes)))
+
+
+def bloom(df: DataFrame, run: Column, key: str, bits: int = 1024, hashes: int = 2) -> DataFrame:
+    """A Bloom filter for every run: ``run_id, word, mask``, words of 32 bits, combined before the shuffle."""
+    set_in = df.select(run.alias("run_id"), F.explode(_bits(key, hashes, bits)).alias("bit"))
+    return set_in.groupBy("run_id", F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("mask"))
+
+
+def may_hold(filters: DataFrame, keys: DataFrame, key: str, bits: int = 1024, hashes: int = 2) -> DataFrame:
+    """``run_id`` and key of the runs that may hold it: all of its bits are set. No run that does is missing."""
+    asked = keys.select(key).distinct().withColumn("bit", F.explode(F.array_distinct(_bits(key, hashes, bits))))
+    asked = asked.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("word", F.floor(F.col("bit") / 32))
+    hit = asked.join(filters, "word").where(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")) != 0)
+    return hit.groupBy("run_id", key, "needed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("needed")).select("run_id", key)

@@ -1,6 +1,7 @@
 """Where intermediate tables go: a folder that the driver and all executors see.
 
-What an application writes there is read lazily, so it stays until Python ends, and then goes.
+What an application writes there is read lazily, so it stays until Python ends, and then goes; what is
+written inside :func:`temporary` goes when the block ends.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
 _folders: dict[str, str] = {}
+_made: list[str] = []
 
 
 def _qualified(spark: SparkSession, folder: str) -> str:
@@ -59,4 +62,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Remove what is written below :func:`shared_path` inside the block, but for the paths given to what it yields."""
+    before, kept = len(_made), set()
+    try:
+        yield kept.add
+    finally:
+        for path in _made[before:]:
+            if path not in kept:
+                remove(spark, path)
+        _made[before:] = [p for p in _made[before:] if p in kept]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    _remove(spark, path)

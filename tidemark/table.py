@@ -14,10 +14,11 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import time
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -30,9 +31,12 @@ from tidemark.operators import versions
 from tidemark.operators.versions import Versions
 from tidemark.plans import compaction
 from tidemark.sources.manifest import Commit, Manifest, State, Store
-from tidemark.sources.runs import Run, prune
+from tidemark.sources.runs import Run, encode_key, prune
 
 MAX_TS = 2**63 - 1
+#: Seconds after which a writer that has not come to its end counts as dead.
+DEAD_AFTER = 24 * 3600.0
+ROWS_PER_RANGE = 1 << 20
 TS, TOMBSTONE, SEQ, POS = "_ts", "_tombstone", "_seq", "_pos"
 
 logger = logging.getLogger(__name__)
@@ -50,6 +54,8 @@ class Options:
     flush_rows: int = 10_000
     retain_versions: int = 0
     bloom_filter: bool = True
+    #: Whether a commit is followed by the compactions that the strategy calls for.
+    auto_compact: bool = False
 
 
 class Conflict(Exception):
@@ -72,7 +78,6 @@ class Table:
         self.values = [f.name for f in values]
         self.manifest = Manifest(store)
         self.planner = compaction.planner(options.strategy, **options.strategy_options)
-        self.filters: list = []
         self.v = Versions(keys=tuple(self.keys), ts=TS, tombstone=TOMBSTONE, ties=(SEQ, POS))
         self._state: State | None = None
         self._buffer: dict[tuple, tuple | None] = {}
@@ -90,7 +95,7 @@ class Table:
             raise ValueError("keys are integers, strings or binary")
         held = {"keys": k.jsonValue(), "values": v.jsonValue(), "strategy": options.strategy, "strategy_options": options.strategy_options,
                 "target_file_bytes": options.target_file_bytes, "flush_rows": options.flush_rows, "retain_versions": options.retain_versions,
-                "bloom_filter": options.bloom_filter}
+                "bloom_filter": options.bloom_filter, "auto_compact": options.auto_compact}
         if not store.put("_table.json", json.dumps(held)):
             raise FileExistsError(f"there is a table at {store.path}")
         return cls(spark, store, k, v, options)
@@ -184,18 +189,26 @@ class Table:
         found = versions.scan(rows, self.v, lower, upper, read_ts, ordered)
         return found.select(*self.keys, *self.values)
 
-    def get(self, *key: Any, read_ts: int | None = None) -> Row | None:
+    def get(self, *key: Any, read_ts: int | None = None, state: State | None = None) -> Row | None:
         """One live row, or nothing."""
         key = self._key(key)
-        if read_ts is None and key in self._buffer:
+        if read_ts is None and state is None and key in self._buffer:
             value = self._buffer[key]
             return None if value is None else Row(*self.keys, *self.values)(*key, *value)
-        rows = self.versions_df(Bound(key), Bound(key), read_ts)
+        rows = self.versions_df(Bound(key), Bound(key), read_ts, state)
         found = versions.point_get(rows, self.v, key, read_ts).select(*self.keys, *self.values).collect()
         return found[0] if found else None
 
     def lookup(self, probe: DataFrame, at: str, width: int | None = None) -> DataFrame:
-        """The row of every probe (key columns and a timestamp column) as of its timestamp."""
+        """The row of every probe (key columns and a timestamp column) as of its timestamp.
+
+        ``width`` splits a key's history for tasks of their own; without it the runs' statistics give one for
+        about ``ROWS_PER_RANGE`` versions, were they all of one key.
+        """
+        if width is None:
+            held = self.state().runs
+            span = max((r.max_ts for r in held), default=0) - min((r.min_ts for r in held), default=0) + 1
+            width = max(1, span // max(1, sum(r.rows for r in held) // ROWS_PER_RANGE))
         found = versions.as_of_lookup(probe, self.versions_df(), self.v, at, width)
         return found.select(*probe.columns, *self.values)
 
@@ -211,8 +224,8 @@ class Table:
         return versions.diff(self.scan(read_ts=old_ts, ordered=False), self.scan(read_ts=new_ts, ordered=False), self.keys, value)
 
     def first_last(self, read_ts: int | None = None) -> Row:
-        """Smallest and largest live key (by the first key column) and the number of live rows."""
-        return versions.first_last(self.scan(read_ts=read_ts, ordered=False), self.keys[0]).collect()[0]
+        """Smallest and largest live key (a struct, if the key has several columns) and the number of live rows."""
+        return versions.first_last(self.scan(read_ts=read_ts, ordered=False), self.keys).collect()[0]
 
     def sync(self) -> None:
         """Make buffered writes durable; a published commit is."""
@@ -264,19 +277,37 @@ class Table:
         writes, self._buffer = self._buffer, {}
         return self.commit(self._rows(writes), files=1, unique=True)
 
-    def write(self, rows: DataFrame, tombstone: Column | None = None, ts: Column | None = None, info: dict | None = None, unique: bool = False) -> State:
+    def write(
+        self, rows: DataFrame, tombstone: Column | None = None, ts: Column | None = None, info: dict | None = None, unique: bool = False, order_by: Column | Sequence[Column] | None = None
+    ) -> State:
         """Commit a DataFrame of keys and values at one new timestamp, or at given ones (``ts``).
 
-        Rows with a true ``tombstone`` are deletes. Of equal keys (and timestamps) any one row wins;
-        ``unique`` promises that there are none and saves the exchange that looks for them.
+        Rows with a true ``tombstone`` are deletes. Of equal keys (and timestamps) the row with the
+        largest ``order_by`` wins, and of equal ones the same row whenever it is asked; ``unique``
+        promises that there are none and saves the exchange that looks for them.
         """
         flag = F.lit(False) if tombstone is None else F.coalesce(tombstone, F.lit(False))
         blank = [F.when(~F.col(TOMBSTONE), F.col(c)).alias(c) if c in rows.columns else F.lit(None).cast(self.value_schema[c].dataType).alias(c) for c in self.values]
-        given = rows.withColumn(TOMBSTONE, flag).withColumn(POS, F.lit(0).cast("long"))
-        if ts is not None:
-            given = given.withColumn(TS, ts.cast("long"))
-        plain = given.select(*(F.col(c).cast(self.key_schema[c].dataType).alias(c) for c in self.keys), TOMBSTONE, POS, *([TS] if ts is not None else []), *blank)
-        return self.commit(plain, info=info, unique=unique)
+        order = [] if order_by is None else [order_by] if isinstance(order_by, Column) else list(order_by)
+        given = rows.withColumns({TOMBSTONE: flag, POS: F.lit(0).cast("long"), **({TS: ts.cast("long")} if ts is not None else {}), **{f"_order_{k}": c for k, c in enumerate(order)}})
+        named = [TOMBSTONE, POS, *([TS] if ts is not None else [])]
+        ranks = [f"_order_{k}" for k in range(len(order))]
+        plain = given.select(*(F.col(c).cast(self.key_schema[c].dataType).alias(c) for c in self.keys), *named, *ranks, *blank)
+        if not unique:
+            hashed = [f.name for f in self.value_schema if "map<" not in f.dataType.simpleString()]
+            first = [F.desc(c) for c in ranks] + [F.desc(TOMBSTONE), F.xxhash64(F.lit(0), *hashed).desc()]
+            plain = versions.first_per_key(plain, [*self.keys, TS] if ts is not None else self.keys, first)
+        return self.commit(plain.drop(*ranks), info=info, unique=True)
+
+    @contextmanager
+    def _writing(self) -> Iterator[str]:
+        """A new folder for runs, declared to :meth:`vacuum` of any driver until the block ends."""
+        name = uuid.uuid4().hex
+        self.store.put(f"_writing/{name}", json.dumps({"since": time.time()}))
+        try:
+            yield f"runs/{name}"
+        finally:
+            self.store.delete(f"_writing/{name}")
 
     def commit(self, rows: DataFrame, files: int | None = None, validate: Callable[[State], None] | None = None, info: dict | None = None, unique: bool = False) -> State:
         """Write rows as new runs and publish them at the next timestamp.
@@ -287,29 +318,40 @@ class Table:
         state = self.state()
         stamped = TS in rows.columns
         source = rows if unique else versions.first_per_key(rows, [*self.keys, TS] if stamped else self.keys, [F.desc(POS)])
-        lost: list[str] = []
-        while True:
-            if validate is not None:
-                validate(state)
-            version, folder = state.version + 1, f"runs/{uuid.uuid4().hex}"
-            level = compaction.Tiered.new_tier(state.runs) if isinstance(self.planner, compaction.Tiered) else 0
-            ready = source if stamped else source.withColumn(TS, F.lit(state.ts + 1).cast("long"))
-            added = self._write_runs(ready.withColumn(SEQ, F.lit(version).cast("long")), folder, level, version, files)
-            ts = max([state.ts, *(r.max_ts for r in added)]) if stamped else state.ts + 1
-            if min((r.min_ts for r in added), default=0) < 0:
-                raise ValueError("timestamps are not negative")
-            after = self.manifest.publish(Commit(version, ts, "append", tuple(added), (), info or {}), state)
-            if after is not None:
-                for old in lost:
-                    self.store.delete(old)
-                self._state = after
-                logger.info("%s: version %d, timestamp %d, %d new runs", self.path, version, ts, len(added))
-                return after
-            logger.info("%s: version %d went to another writer", self.path, version)
-            lost.append(folder)
-            written = self.spark.read.schema(self._frame([]).schema).parquet(f"{self.path}/{folder}") if added else self._frame([])
-            source = written.drop(SEQ) if stamped else written.drop(SEQ, TS)
-            state = self.state()
+        with ExitStack() as open_folders:
+            lost: list[str] = []
+            while True:
+                if validate is not None:
+                    validate(state)
+                version, folder = state.version + 1, open_folders.enter_context(self._writing())
+                level = compaction.Tiered.new_tier(state.runs) if isinstance(self.planner, compaction.Tiered) else 0
+                ready = source if stamped else source.withColumn(TS, F.lit(state.ts + 1).cast("long"))
+                added = self._write_runs(ready.withColumn(SEQ, F.lit(version).cast("long")), folder, level, version, files)
+                ts = max([state.ts, *(r.max_ts for r in added)]) if stamped else state.ts + 1
+                if min((r.min_ts for r in added), default=0) < 0:
+                    raise ValueError("timestamps are not negative")
+                after = self.manifest.publish(Commit(version, ts, "append", tuple(added), (), info or {}), state)
+                if after is not None:
+                    break
+                logger.info("%s: version %d went to another writer", self.path, version)
+                lost.append(folder)
+                written = self.spark.read.schema(self._frame([]).schema).parquet(f"{self.path}/{folder}") if added else self._frame([])
+                source = written.drop(SEQ) if stamped else written.drop(SEQ, TS)
+                state = self.state()
+            for old in lost:
+                self.store.delete(old)
+        self._state = after
+        logger.info("%s: version %d, timestamp %d, %d new runs", self.path, version, ts, len(added))
+        return self._follow_up(after)
+
+    def _follow_up(self, after: State) -> State:
+        """The compactions that a commit calls for; they are not part of it, so that they may lose to other writers."""
+        try:
+            while self.options.auto_compact and (merged := self._compact()) is not None:
+                after = merged
+        except Conflict:
+            logger.info("%s: compaction left to other writers", self.path)
+        return after
 
     def _write_runs(self, rows: DataFrame, folder: str, level: int, seq: int, files: int | None = None) -> list[Run]:
         """Sorted files below ``folder``, each of a key range of its own (a key with very many versions may fill several)."""
@@ -340,9 +382,20 @@ class Table:
 
     # -- maintenance
 
+    @property
+    def filters(self) -> tuple:
+        return self.state().filters
+
     def add_filter(self, prefix: str | bytes) -> None:
-        """Let compaction drop the keys (by their first column) that begin with ``prefix``."""
-        self.filters.append(prefix)
+        """Let compaction, by whichever driver, drop the keys (by their first column) that begin with ``prefix``."""
+        while True:
+            state = self.state()
+            if prefix in state.filters:
+                return
+            after = self.manifest.publish(Commit(state.version + 1, state.ts, "filter", info={"filters": encode_key([prefix])}), state)
+            if after is not None:
+                self._state = after
+                return
 
     def _collectable(self, state: State) -> int:
         """The timestamp below which versions may go."""
@@ -356,6 +409,9 @@ class Table:
         The merge drops versions that no reader can see, and tombstones if nothing older lies outside it.
         """
         self.flush()
+        return self._compact(full)
+
+    def _compact(self, full: bool = False) -> State | None:
         for _ in range(10):
             state = self.state()
             if full:
@@ -373,11 +429,18 @@ class Table:
         low = self._collectable(state)
         bottom = compaction.is_bottom(state.runs, task, low)
         rows = self._frame(task.inputs)
-        if self.filters:
-            rows = rows.where(passes_filters(self.keys[0], self.filters))
         rows = versions.first_per_key(rows, [*self.keys, TS], [F.desc(SEQ), F.desc(POS)])
+        with _lock:
+            read = bool(_readers.get(self.path))
+        if state.filters and not read:
+            # Versions that are retained stay; off the bottom a tombstone keeps what lies below from coming back.
+            out = ~passes_filters(self.keys[0], state.filters) & (F.col(TS) <= low)
+            rows = rows.withColumns({TOMBSTONE: F.col(TOMBSTONE) | out, **{c: F.when(~out, F.col(c)) for c in self.values}})
         kept = versions.gc_keep(rows, self.v, low, bottom)
-        folder = f"runs/{uuid.uuid4().hex}"
+        with self._writing() as folder:
+            return self._publish_merge(state, task, kept, folder, low, bottom)
+
+    def _publish_merge(self, state: State, task: compaction.Task, kept: DataFrame, folder: str, low: int, bottom: bool) -> State | None:
         added = self._write_runs(kept, folder, task.target, state.version + 1, compaction.output_files(task, self.options.target_file_bytes))
         gone = tuple(r.id for r in task.inputs)
         while True:
@@ -404,16 +467,25 @@ class Table:
         after = self.compact(full=True)
         return 0 if after is None else before - sum(r.rows for r in after.runs)
 
-    def vacuum(self) -> int:
-        """Delete the files that no state needs from now on; refused while transactions are open."""
+    def vacuum(self, older_than: float = 0.0, dead_after: float = DEAD_AFTER) -> int:
+        """Delete the files that no state needs from now on, and the commits before the newest checkpoint; the number of files.
+
+        Files of writers at work, in any driver, stay (those of writers that began more than ``dead_after`` seconds ago and
+        have not ended go), and so do files younger than ``older_than`` seconds, which scans of other drivers may be reading.
+        Refused while transactions are open here.
+        """
         with _lock:
             if _readers.get(self.path):
                 raise RuntimeError("transactions are open")
+            now = time.time()
+            # In this order: a file that is listed belongs to a declared writer, or is in the state that is read last, or is garbage.
+            found = [(d, f, t) for d in self.store.names("runs") for f, t in self.store.modified(f"runs/{d}").items() if f.endswith(".parquet")]
+            busy = {name for name, t in self.store.modified("_writing").items() if now - t < dead_after}
             needed = {r.path for r in self.state().runs}
-            found = [f"runs/{d}/{f}" for d in self.store.names("runs") for f in self.store.names(f"runs/{d}") if f.endswith(".parquet")]
-            gone = [f for f in found if f not in needed]
+            gone = [f"runs/{d}/{f}" for d, f, t in found if d not in busy and now - t >= older_than and f"runs/{d}/{f}" not in needed]
             for f in gone:
                 self.store.delete(f)
+            self.manifest.trim()
         return len(gone)
 
 

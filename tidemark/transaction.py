@@ -18,7 +18,7 @@ from tidemark.functions.bounds import UNBOUNDED, Bound, as_bound, contains, in_r
 from tidemark.operators import conflicts, versions
 from tidemark.sources.manifest import State
 from tidemark.sources.runs import prune
-from tidemark.table import TS, Conflict, Table
+from tidemark.table import SEQ, TS, Conflict, Table
 
 if TYPE_CHECKING:
     from collections.abc import Iterable
@@ -72,7 +72,7 @@ class Transaction:
             value = self.writes[key]
             return None if value is None else Row(*self.table.keys, *self.table.values)(*key, *value)
         self.read_keys.add(key)
-        return self.table.get(*key, read_ts=self.read_ts)
+        return self.table.get(*key, read_ts=self.read_ts, state=self.snapshot)
 
     def scan(self, lower: Any = UNBOUNDED, upper: Any = UNBOUNDED, ordered: bool = True) -> DataFrame:
         """A range as this transaction sees it."""
@@ -88,20 +88,20 @@ class Transaction:
         return base.orderBy(*t.keys) if ordered else base
 
     def _since(self, state: State, where: Column | None = None) -> DataFrame:
-        """Versions committed since this transaction began."""
-        newer = [r for r in prune(state.runs, UNBOUNDED, UNBOUNDED) if r.max_ts > self.read_ts]
-        rows = self.table._frame(newer).where(F.col(TS) > self.read_ts)
+        """Versions that this transaction has not seen: newer than its timestamp, or committed (at whatever timestamp) after its snapshot."""
+        newer = [r for r in prune(state.runs, UNBOUNDED, UNBOUNDED) if r.max_ts > self.read_ts or r.seq > self.snapshot.version]
+        rows = self.table._frame(newer).where((F.col(TS) > self.read_ts) | (F.col(SEQ) > self.snapshot.version))
         return rows if where is None else rows.where(where)
 
     def _keys_frame(self, keys: Iterable[tuple]) -> DataFrame:
         return self.table.spark.createDataFrame(list(keys), self.table.key_schema)
 
     def _validate(self, state: State) -> None:
-        if state.version == self.snapshot.version:
+        if state.version == self.snapshot.version and state.ts <= self.read_ts:
             return
         t = self.table
         watched = set(self.writes) | (self.read_keys if self.validate_reads else set())
-        if watched and not conflicts.touched_since(self._since(state), self._keys_frame(watched), t.keys, TS, self.read_ts).isEmpty():
+        if watched and not conflicts.touched(self._since(state), self._keys_frame(watched), t.keys).isEmpty():
             raise Conflict("a key was committed by another transaction")
         if self.validate_reads and self.read_ranges:
             ranges = reduce(Column.__or__, (in_range(t.keys, low, high) for low, high in self.read_ranges))
