@@ -196,6 +196,40 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(df.limit(0)).count() == 0
 
 
+def test_contrast_pairs(spark):
+    rows = [
+        (0, 0, "system", "S"), (0, 1, "user", "Q"), (0, 2, "assistant", "mine"), (0, 3, "user", "thanks"),
+        (1, 0, "user", "P"), (1, 1, "assistant", "early"), (1, 2, "user", "R"), (1, 3, "assistant", "theirs"), (1, 3, "assistant", "theirs"),
+        (2, 0, "user", "U"), (2, 1, "assistant", "same"), (3, 0, "assistant", "same"),
+        (4, 0, "user", "no answer"), (5, 0, "assistant", "an answer"), (7, 0, "assistant", "x" * 500_000), (None, 0, "assistant", "dropped"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("a", "b", "pair_id", "n", "side")})
+    got = {r.pair_id: r for r in chat.contrast_pairs(df).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 7}
+    said = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert (got[0].n_prompt_turns, got[0].prompt) == (2, said("system", "S") + said("user", "Q"))
+    assert (got[0].chosen, got[0].rejected) == (said("assistant", "mine") + said("user", "thanks"), said("assistant", "theirs"))
+    assert (got[0].chosen_mask, got[0].rejected_mask) == ([14, 12, 23, 0], [14, 14])
+    assert (got[1].n_prompt_turns, got[1].chosen, got[1].rejected) == (3, said("assistant", "theirs"), said("assistant", "mine"))
+    assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected, got[2].rejected_mask) == (2, "", "", [])
+    assert (got[3].n_prompt_turns, got[3].prompt) == (1, said("assistant", "same"))
+    for k in (4, 5, 7):
+        assert (got[k].n_prompt_turns, got[k].prompt, got[k].rejected, got[k].rejected_mask) == (0, "", None, None)
+    assert got[4].chosen == said("user", "no answer") and len(got[7].chosen) > 500_000
+    assert chat.contrast_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_conversations_of_the_test_data_have_prompts(spark):
+    turns = sorted((r.conv_id, r.turn, r.role) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect())
+    roles = {}
+    for i, _, role in turns:
+        roles.setdefault(i, []).append(role)
+    answered = {i for i, held in roles.items() if "assistant" in held[1:] and "assistant" in roles.get(i ^ 1, ())}
+    got = {r.pair_id: r for r in QUERIES["op2_preference_formatting"](spark, DATA).collect()}
+    assert set(got) == set(roles) and len(answered) > 5 and all(got[i].prompt.startswith("<|") and got[i].rejected is not None for i in answered)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.mark.parametrize("name", list(SQL))
 def test_oracles(spark, name):

@@ -21,7 +21,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat.preference_pairs(table(spark, sf_dir, "conversations"))
+    pairs = chat.contrast_pairs(table(spark, sf_dir, "conversations"))
     masks = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("chosen_mask", "rejected_mask")}
     return pairs.withColumns(masks)
 

@@ -27,32 +27,24 @@ WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), placed AS (
-  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
+  SELECT conv_id, role, text, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
   FROM turns
+), answers AS (
+  SELECT conv_id, text, head, body, pos FROM placed WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1
 ), sides AS (
-  SELECT pair_id, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM placed GROUP BY ALL
-), equal AS (
-  SELECT x.pair_id, x.pos FROM placed x JOIN placed y
-    ON x.pair_id = y.pair_id AND x.pos = y.pos AND x.side = 0 AND y.side = 1 AND x.role = y.role AND x.text = y.text
-), runs AS (
-  SELECT pair_id, pos, row_number() OVER (PARTITION BY pair_id ORDER BY pos) AS k FROM equal
-), prefix AS (
-  SELECT pair_id, count(*) AS n FROM runs WHERE pos = k GROUP BY ALL
+  SELECT x.conv_id, x.pos - (x.text <> y.text)::INT AS n, CASE WHEN x.text = y.text THEN '' ELSE y.head || y.body END AS rejected,
+         CASE WHEN x.text = y.text THEN '' ELSE length(y.head) || ',' || length(y.body) END AS rejected_mask
+  FROM answers x JOIN answers y ON xor(x.conv_id, 1) = y.conv_id
 ), drawn AS (
-  SELECT p.*, coalesce(n, 0) AS n, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
-  FROM placed p LEFT JOIN prefix USING (pair_id)
+  SELECT conv_id, pos, coalesce(n, 0) AS n, head || body AS line, rejected, rejected_mask,
+         CASE WHEN role = 'assistant' THEN length(head) || ',' || length(body) ELSE (length(head) + length(body)) || ',0' END AS mask
+  FROM placed LEFT JOIN sides USING (conv_id)
 )
-SELECT pair_id, n AS n_prompt_turns,
-  coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 0 AND pos <= n), '') AS prompt,
-  CASE WHEN a > 0 THEN coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 0 AND pos > n), '') END AS chosen,
-  CASE WHEN b > 0 THEN coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 1 AND pos > n), '') END AS rejected,
-  CASE WHEN a > 0 THEN coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (side = 0 AND pos > n), '') END AS chosen_mask,
-  CASE WHEN b > 0 THEN coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (side = 1 AND pos > n), '') END AS rejected_mask
-FROM (
-  SELECT *, CASE WHEN role = 'assistant' THEN length(head) || ',' || length(body) ELSE (length(head) + length(body)) || ',0' END AS mask FROM drawn
-) JOIN sides USING (pair_id)
-GROUP BY pair_id, n, a, b
+SELECT conv_id AS pair_id, n AS n_prompt_turns, coalesce(string_agg(line, '' ORDER BY pos) FILTER (pos <= n), '') AS prompt,
+  coalesce(string_agg(line, '' ORDER BY pos) FILTER (pos > n), '') AS chosen, any_value(rejected) AS rejected,
+  coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (pos > n), '') AS chosen_mask, any_value(rejected_mask) AS rejected_mask
+FROM drawn GROUP BY conv_id, n
 """
 
 OP5 = f"""
