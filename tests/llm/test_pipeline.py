@@ -71,3 +71,27 @@ def test_packed(kept, spark):
     assert sum(r.length for r in rows) == sum(len(ids_of(r.text)) for r in kept[4].collect())
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()) == Counter(r.doc_id for r in rows)
     assert len(quality.RULES) == 6
+
+
+def test_run_frees_what_the_stages_wrote(spark):
+    from tidemark.sources import scratch
+
+    before = set(scratch._made)
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._made if p not in before and os.path.isdir(p.removeprefix("file://"))]
+    assert sorted(left) == ["stage-source_mixing", "tokens"]
+
+
+def test_stages_take_nulls_clashing_columns_and_empty_tables(spark):
+    long = " ".join(f"word{k}" for k in range(60_000))
+    prose = " ".join(f"plain{k % 211} text{k % 97}" for k in range(60))
+    rows = [(1, long), (2, long), (3, prose), (None, prose + " more"), (4, None), (None, None), (5, ""), (6, prose), (6, prose), (7, "x" * 100_000)]
+    names = ("row", "size", "key", "tie", "node", "position", "failed_rule", "kept", "part", "file")
+    docs = spark.createDataFrame([(i, t, None, None if i == 3 else "s", len(t or ""), *names) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for table in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            after = stage(spark, table, DATA)
+            assert after.columns == docs.columns
+            table = materialize(after, "odd")
+            assert all(tuple(r)[5:] == names for r in table.collect())
+        assert corpus_pipeline.STAGES[4][1](spark, table, DATA).count() >= table.count()

@@ -23,15 +23,20 @@ SPACES = " \t\n\x0b\x0c\r"
 _shipped: set[str] = set()
 
 
+def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder: the table as it is read again, and its path."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
+    """Cut the lineage: write ``df`` into the shared folder and read it again.
 
     Lost executors cost a task's work, not the table's: the files are outside them.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, label)[0]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
