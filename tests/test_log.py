@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidemark.functions import checksums
 from tidemark.sources import log
 
 SCHEMA = "segment long, offset long, op string, key string, ts long, value string"
@@ -33,3 +34,22 @@ def test_a_bad_record_ends_its_segment_only(spark):
 def test_checksum_tells_null_from_empty_and_columns_apart(spark):
     rows = [(1, 0, "put", "ab", 1, "c"), (1, 0, "put", "a", 1, "bc"), (1, 0, "put", "ab", 1, None), (1, 0, "put", "ab", 1, "")]
     assert log.seal(spark.createDataFrame(rows, SCHEMA)).select("crc").distinct().count() == 4
+
+
+def test_segments_begin_anew_and_old_files_go(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(95).select(log.segment_of(F.col("id"), 10).alias("segment"), F.col("id").alias("offset"), F.lit("put").alias("op"), F.col("id").cast("string").alias("key"), F.col("id").alias("ts"), F.lit("v").alias("value"))
+    log.append(rows, path)
+    assert log.segments(spark, path) == list(range(10))
+    assert log.remove_segments(spark, path, 3) == list(range(7)) and log.segments(spark, path) == [7, 8, 9]
+    assert log.replay(log.read(spark, path)).count() == 25
+    assert log.remove_segments(spark, path, 99) == []
+
+
+def test_crc32c(spark):
+    vectors = {b"123456789": 0xE3069283, b"": 0, b"a": 0xC1D04330, b"\0" * 32: 0x8A9136AA, b"\xff" * 32: 0x62A8AB43}
+    df = spark.createDataFrame([(bytearray(k),) for k in vectors], "b binary")
+    assert {bytes(r.b): r.c for r in df.select("b", checksums.crc32c(F.col("b")).alias("c")).collect()} == vectors
+    sealed = log.seal(spark.createDataFrame(ROWS, SCHEMA), "crc32c")
+    torn = sealed.withColumn("value", F.when(F.col("value") == "b1", "torn").otherwise(F.col("value")))
+    assert sorted((r.key, r.value) for r in log.replay(torn, "crc32c").collect()) == [("a", "a2"), ("d", "")]

@@ -259,3 +259,120 @@ def test_random_operations_against_a_model(make, spark):
             assert pairs(t.scan(read_ts=ts)) == at(ts), step
         lo = rnd.randrange(12)
         assert pairs(t.scan(lo, UNBOUNDED)) == [r for r in at(t.latest_ts) if r[0] >= lo]
+
+
+def files_of(t):
+    return {f"runs/{d}/{f}" for d in t.store.names("runs") for f in t.store.names(f"runs/{d}") if f.endswith(".parquet")}
+
+
+def test_vacuum_spares_writers_at_work(make, spark, monkeypatch):
+    """Vacuum between a writer's files and its commit, from the same handle and from another driver's."""
+    t = make()
+    t.write(spark.createDataFrame([("a", "1")], "k string, v string"))
+    t.compact(full=True)
+    real, vacuumed = Manifest.publish, []
+
+    def publish(self, commit, state):
+        if commit.kind in {"append", "compact"}:
+            vacuumed.append((t.vacuum(), Table.open(spark, t.path).vacuum()))
+        return real(self, commit, state)
+
+    monkeypatch.setattr(Manifest, "publish", publish)
+    t.write(spark.createDataFrame([("b", "2")], "k string, v string"))
+    t.compact(full=True)
+    monkeypatch.undo()
+    assert len(vacuumed) == 2 and pairs(t.scan()) == pairs(Table.open(spark, t.path).scan()) == [("a", "1"), ("b", "2")]
+    assert t.vacuum() > 0 and files_of(t) == {r.path for r in t.state().runs}
+    assert t.store.names("_writing") == []
+
+
+def test_vacuum_takes_what_dead_writers_left_and_spares_young_files(make, spark):
+    t = make()
+    t.write(spark.createDataFrame([("a", "1")], "k string, v string"))
+    with pytest.raises(RuntimeError, match="lost"), t._writing() as folder:
+        t._write_runs(spark.createDataFrame([("z", 1, False, 9, 0, "9")], t._frame([]).schema), folder, 0, 9)
+        t.store.put(f"_writing/{folder[5:]}-copy", "{}")
+        assert t.vacuum() == 0
+        raise RuntimeError("lost")
+    assert t.vacuum(older_than=3600) == 0 and t.vacuum() > 0 and files_of(t) == {r.path for r in t.state().runs}
+
+
+def test_vacuum_trims_the_log(make):
+    t = make()
+    for i in range(40):
+        t.put(f"k{i}", "v")
+        t.flush()
+    before = len(t.store.names("_commits"))
+    t.vacuum()
+    assert len(t.store.names("_commits")) < before - 30
+    u = Table.open(t.spark, t.path)
+    assert u.scan().count() == 40 and u.state().version == 39
+    u.put("x", "y")
+    u.flush()
+    assert t.scan().count() == 41
+
+
+def test_filters_do_not_bring_old_versions_back(make, spark):
+    """A filtered key's newest version leaves level 0 while an older one lies below."""
+    t = make(strategy="simple", strategy_options={"level0_runs": 2, "ratio_percent": 1})
+    old = spark.createDataFrame([("keep", "1"), *((f"tmp{i}", "old") for i in range(200))], "k string, v string")
+    t.write(old)
+    t.compact(full=True)
+    for v in ("new", "newer"):
+        t.write(spark.createDataFrame([("tmp1", v)], "k string, v string"))
+    t.add_filter("tmp")
+    u = Table.open(spark, t.path)
+    assert u.filters == ("tmp",)
+    with u.reading():
+        u._compact()
+        assert u.get("tmp1").v == "newer"  # somebody reads
+    u.write(spark.createDataFrame([("x", "1")], "k string, v string"))
+    u.write(spark.createDataFrame([("tmp1", "newest")], "k string, v string"))
+    while u.compact() is not None:
+        assert u.get("tmp1") is None or u.get("tmp1").v == "newest"
+    u.compact(full=True)
+    assert pairs(u.scan()) == [("keep", "1"), ("x", "1")] and u.versions_df().count() == 2
+
+
+def test_equal_keys_of_one_batch(make, spark):
+    t = make()
+    rows = spark.range(1000).select(F.lit("k").alias("k"), F.concat(F.lit("v"), "id").alias("v"), "id", (F.col("id") == 999).alias("gone"))
+    t.write(rows.where("id < 999").repartition(7), order_by=F.col("id"))
+    assert pairs(t.scan()) == [("k", "v998")]
+    t.write(rows.repartition(5), tombstone=F.col("gone"), order_by=[F.lit(0), F.col("id")])
+    assert pairs(t.scan()) == []
+    found = set()
+    for n in (1, 3, 8):  # without an order: the same row however the batch is dealt
+        t.write(rows.where("id < 999").repartition(n))
+        found.add(tuple(pairs(t.scan())))
+    assert len(found) == 1
+    t.write(rows.where("id > 990"), ts=F.lit(50), tombstone=F.col("gone"), order_by=-F.col("id"))
+    assert pairs(t.scan()) == [("k", "v991")]
+
+
+def test_commits_compact_by_themselves(make):
+    t = make(strategy_options={"level0_runs": 2}, auto_compact=True)
+    for i in range(5):
+        t.put("k", str(i))
+        t.flush()
+    assert len(t.state().level(0)) < 2 and t.get("k").v == "4"
+    txn = t.begin()
+    txn.put("j", "1")
+    assert txn.commit() and Table.open(t.spark, t.path).options.auto_compact
+
+
+def test_first_and_last_of_composite_keys(make):
+    t = make(keys="a string, b int")
+    for row in (("x", 2), ("x", 1), ("w", 9), ("w", 10)):
+        t.put(*row, "v")
+    assert [tuple(x) if isinstance(x, tuple) else x for x in t.first_last()] == [("w", 9), ("x", 2), 4]
+
+
+def test_lookup_spreads_hot_keys_by_the_runs_statistics(make, spark, monkeypatch):
+    from tidemark import table
+
+    monkeypatch.setattr(table, "ROWS_PER_RANGE", 10)
+    t = make()
+    t.write(spark.range(1, 101).select(F.lit("hot").alias("k"), F.col("id").cast("string").alias("v"), "id"), ts=F.col("id"))
+    probe = spark.range(0, 120, 7).select(F.lit("hot").alias("k"), F.col("id").alias("at"))
+    assert sorted((r.at, r.v) for r in t.lookup(probe, "at").collect()) == [(i, str(min(i, 100))) for i in range(7, 120, 7)]

@@ -169,3 +169,36 @@ def test_context_manager(t):
     with pytest.raises(Conflict), t.begin("serializable") as second:
         second.put("a", "y")
         first.commit()
+
+
+def test_an_older_read_timestamp_sees_every_later_commit(t):
+    put(t, ("k", "1"))
+    put(t, ("k", "2"))
+    txn = t.begin("serializable", read_ts=1)
+    assert txn.get("k").v == "1" and txn.put("k", "mine")
+    assert not txn.commit() and t.get("k").v == "2"
+    other = t.begin("serializable", read_ts=1)
+    other.put("j", "mine")
+    assert other.commit()
+
+
+def test_commits_at_explicit_timestamps_neither_show_nor_slip_past(t, spark):
+    from pyspark.sql import functions as F
+
+    put(t, ("a", "1"))
+    put(t, ("b", "1"))
+    txn = t.begin("serializable", validate_reads=True)
+    assert txn.get("c") is None and txn.scan().count() == 2
+    t.write(spark.createDataFrame([("c", "back")], "k string, v string"), ts=F.lit(1))
+    assert txn.get("c") is None and txn.scan().count() == 2  # its snapshot
+    txn.put("d", "1")
+    assert not txn.commit()
+    blind = t.begin("serializable")
+    t.write(spark.createDataFrame([("e", "back")], "k string, v string"), ts=F.lit(1))
+    blind.put("e", "mine")
+    assert not blind.commit()
+    t.compact(full=True)  # rewritten rows are no new commits
+    after = t.begin("serializable")
+    t.compact(full=True)
+    after.put("a", "2")
+    assert after.commit() and t.get("a").v == "2"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import conflicts, versions
 from tidemark.operators.versions import Versions
+from tidemark.sources import runs
 
 V = Versions(keys=("k",))
 SCHEMA = "k string, ts long, is_tombstone boolean, value string"
@@ -140,3 +141,30 @@ def test_plans_ship_one_version_per_key(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan_of(versions.point_get(df, V, 3))
     lookup = plan_of(versions.as_of_lookup(df.selectExpr("k", "ts AS at"), df, V, "at", None))
     assert "Join" not in lookup and lookup.count("Exchange") == 1
+
+
+def test_a_key_that_all_write_joins_its_neighbours_only(spark):
+    rows = [(i, 10 * i - 15, 10 * i, "hot") for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "txn int, read_ts int, commit_ts int, k string")
+    want = {(a[0], b[0]) for a in rows for b in rows if b[0] < a[0] and b[2] > a[1]}
+    for width in (1, 7, 5000):
+        assert {(r.txn, r.winner) for r in conflicts.write_write(df, ["k"], width=width).collect()} == want
+    assert {r.txn for r in conflicts.losers(df, ["k"]).collect()} == {a for a, _ in want}
+
+
+@pytest.mark.parametrize("cells", [1, 4, 256])
+def test_overlaps_of_ranges_of_any_width(spark, cells):
+    rng = random.Random(3)
+    rows = [(i, a, a + rng.choice([0, 5, 10**6, 10**12])) for i, a in ((i, rng.randrange(10**9)) for i in range(60))]
+    df = spark.createDataFrame([*rows, (99, 0, 2 * 10**12)], "run_id int, min_key long, max_key long")
+    held = [*rows, (99, 0, 2 * 10**12)]
+    want = sorted((x[0], y[0]) for x in held for y in held if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2])
+    assert sorted(map(tuple, runs.overlap_pairs(df, cells).collect())) == want
+    assert runs.overlap_pairs(df.limit(0), cells).count() == 0
+
+
+def test_bloom_filters_miss_no_key(spark):
+    df = spark.range(3000).select((F.col("id") % 10).alias("run"), F.concat(F.lit("k"), "id").alias("k"))
+    got = {(r.run_id, r.k) for r in runs.may_hold(runs.bloom(df, F.col("run"), "k", bits=4096), df.where("run < 2"), "k", bits=4096).collect()}
+    held = {(r.run, r.k) for r in df.where("run < 2").collect()}
+    assert held <= got and len(got) < 2 * len(held)

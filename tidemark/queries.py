@@ -407,7 +407,10 @@ def log_replay(spark, d):
 
 
 def log_replay_versions(spark, d):
-    return log.replay_versions(_damaged(log.read(spark, _stored_records(spark, d))))
+    """The same with the other checksum."""
+    path = shared_path(spark, "log")
+    log.append(_log_records(spark, d), path, "crc32c")
+    return log.replay_versions(_damaged(log.read(spark, path)), "crc32c")
 
 
 def log_segments(spark, d):

@@ -10,21 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.checksums import record_crc
+from tidemark.functions.checksums import record_crc, record_crc32c
 from tidemark.operators.versions import first_per_key
 from tidemark.sources.manifest import Store
 
 CHECKED = ("segment", "offset", "op", "key", "ts", "value")
+#: Checksums by name; all records of a log have the same.
+CHECKSUMS = {"crc32": record_crc, "crc32c": record_crc32c}
 
 
-def seal(records: DataFrame) -> DataFrame:
+def seal(records: DataFrame, checksum: str = "crc32") -> DataFrame:
     """``records`` with their checksum."""
-    return records.withColumn("crc", record_crc(*CHECKED))
+    return records.withColumn("crc", CHECKSUMS[checksum](*CHECKED))
 
 
-def append(records: DataFrame, path: str) -> None:
+def append(records: DataFrame, path: str, checksum: str = "crc32") -> None:
     """Append sealed records; segments become folders, so that replay of some reads only those."""
-    seal(records).write.mode("append").partitionBy("segment").parquet(path)
+    seal(records, checksum).write.mode("append").partitionBy("segment").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -37,16 +39,16 @@ def valid_prefix(df: DataFrame, segment: str, offset: str, valid: Column) -> Dat
     return df.join(first_bad, segment).where(F.col("_bad").isNull() | (F.col(offset) < F.col("_bad"))).drop("_bad")
 
 
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, checksum: str = "crc32") -> DataFrame:
     """The state that a log leaves: the last record of every key, deletes gone."""
-    good = valid_prefix(log, "segment", "offset", F.col("crc") == record_crc(*CHECKED))
+    good = valid_prefix(log, "segment", "offset", F.col("crc") == CHECKSUMS[checksum](*CHECKED))
     last = first_per_key(good, ["key"], [F.desc("segment"), F.desc("offset")])
     return last.where(F.col("op") == "put").select("key", "ts", "value")
 
 
-def replay_versions(log: DataFrame) -> DataFrame:
+def replay_versions(log: DataFrame, checksum: str = "crc32") -> DataFrame:
     """All versions that a log holds, for a versioned table; equal (key, ts): the last record."""
-    good = valid_prefix(log, "segment", "offset", F.col("crc") == record_crc(*CHECKED))
+    good = valid_prefix(log, "segment", "offset", F.col("crc") == CHECKSUMS[checksum](*CHECKED))
     last = first_per_key(good, ["key", "ts"], [F.desc("segment"), F.desc("offset")])
     return last.select("key", "ts", (F.col("op") == "delete").alias("is_tombstone"), "value")
 

@@ -98,7 +98,7 @@ def overlap_pairs(stats: DataFrame, cells: int = 256) -> DataFrame:
     The cells' edges are quantiles of the runs' smallest keys, so that their number does not depend on how
     wide ranges are; a pair meets in every cell that both reach and is reported in the first.
     """
-    edges = sorted(set(stats.approxQuantile("min_key", [k / cells for k in range(1, cells)], 1 / (4 * cells))))
+    edges = sorted(set(stats.approxQuantile("min_key", [k / cells for k in range(1, cells)], 1 / (4 * cells)))) if cells > 1 else []
     cell = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c)) if edges else F.lit(0)
     placed = stats.select("run_id", "min_key", "max_key", F.explode(F.sequence(cell(F.col("min_key")), cell(F.col("max_key")))).alias("cell"))
     a = placed.select(F.col("run_id").alias("a"), F.col("min_key").alias("a_low"), F.col("max_key").alias("a_high"), "cell")
