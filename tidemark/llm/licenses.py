@@ -8,12 +8,12 @@ only where no licence is found. A piece that negates what its template does not,
 quotation mark, is no notice. A text is a licence file if its first line, its first paragraph or the
 whole of it matches, so that long licences are known by their headings.
 
-Only pieces with a telling term are compared: of every template the heaviest terms without which no
-cosine reaches ``least`` (by Cauchy-Schwarz; nothing is lost).
+Only pieces with a telling term are compared: of every template the rarest terms, as many as it takes for
+no cosine to reach ``least`` without any of them (by Cauchy-Schwarz; nothing is lost).
 
-The frequencies of the templates' terms come first. A piece with further words could only match if
-it does so with them as light as words of every document; of those pieces, few, the words' own
-frequencies are a grouped aggregation over all documents, joined to the pieces before they are scored.
+The frequencies of all terms are one grouped aggregation; those of the templates' terms come to the driver.
+A piece with further words could only match if it does so with them as light as words of every document;
+to those pieces, few, the words' own frequencies are joined before they are scored.
 
 A directory takes the licence that most of its licence files have. A document without a licence of
 its own inherits from the nearest directory above it that has one. Directories, of which there are
@@ -195,9 +195,9 @@ class Matcher:
             weight = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(terms(text)).items()}
             norm = math.sqrt(sum(w * w for w in weight.values()))
             left = 1.0
-            for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+            for t, w in sorted(weight.items(), key=lambda x: (-self.idf.get(x[0], self.unseen), x[0])):
                 self.index.setdefault(t, []).append((k, w / norm))
-                if left >= least * least - 1e-6:  # what is lighter could still reach a match without this term
+                if left >= least * least - 1e-6:  # the commoner terms could still reach a match without this one
                     self.telling.add(t)
                 left -= (w / norm) ** 2
             self.shared.append(min(LEAST_TERMS, len(weight)))
@@ -266,18 +266,8 @@ class Matcher:
         return Found(name, min(-score, 1.0), line, any(match and p.top for match, p in got))
 
 
-def _count(batches, known: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """How many documents hold each template term, of this partition; the null term counts all."""
-    n: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            n.update(known.intersection(terms(text or "")))
-            n[None] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-
-def _count_all(batches) -> Iterator[pa.RecordBatch]:
-    """How many documents hold each term, in parts that fit in memory."""
+def _count(batches) -> Iterator[pa.RecordBatch]:
+    """How many documents hold each term, in parts that fit in memory; the null term counts all."""
     n: Counter = Counter()
 
     def part() -> pa.RecordBatch:
@@ -285,7 +275,7 @@ def _count_all(batches) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            n.update(set(terms(text or "")))
+            n.update({None, *terms(text or "")})
             if len(n) > TERMS_HELD:
                 yield part()
                 n.clear()
@@ -329,7 +319,7 @@ def _decide(batches, matcher: Matcher) -> Iterator[pa.RecordBatch]:
             yield _rows(batch, [matcher.decide(matcher.pieces(t), o) for t, o in zip(batch.column("open_text").to_pylist(), others, strict=True)])
 
 
-def found_licenses(placed: DataFrame, matcher: Matcher) -> DataFrame:
+def found_licenses(placed: DataFrame, matcher: Matcher, counted: DataFrame) -> DataFrame:
     """Every document's own licence: the columns of ``FOUND``."""
     names = [c.split()[0] for c in FOUND.split(", ")]
     found = materialize(map_arrow(placed, functools.partial(_scan, matcher=matcher), FOUND + ", open_text string, open_terms array<string>"), "licenses")
@@ -338,18 +328,21 @@ def found_licenses(placed: DataFrame, matcher: Matcher) -> DataFrame:
         return done
     opened = materialize(opened.withColumn("at", F.monotonically_increasing_id()), "open-licenses")
     wanted = opened.select("at", F.explode("open_terms").alias("term"))
-    counted = map_arrow(placed.select("text"), _count_all, "term string, n long")
-    counted = materialize(counted.groupBy("term").agg(F.sum("n").alias("n")), "term-frequencies")
     weights = wanted.join(counted, "term").groupBy("at").agg(F.collect_list(F.struct("term", "n")).alias("weights"))
     decided = map_arrow(opened.select("at", "doc_id", "directory", "path", "open_text").join(weights, "at"), functools.partial(_decide, matcher=matcher), FOUND)
     return materialize(done.unionByName(decided), "decided-licenses")
 
 
-def matcher(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Matcher:
-    """Document frequencies over all documents; one number per template term comes to the driver."""
-    known = frozenset(t for _, text in templates for t in terms(text))
-    counted = map_arrow(docs.select(F.col("text").cast("string").alias("text")), functools.partial(_count, known=known), "term string, n long")
-    frequency = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+def frequencies(docs: DataFrame) -> DataFrame:
+    """``term, n``: how many documents hold it; the null term counts all."""
+    counted = map_arrow(docs.select(F.col("text").cast("string").alias("text")), _count, "term string, n long")
+    return materialize(counted.groupBy("term").agg(F.sum("n").alias("n")), "term-frequencies")
+
+
+def matcher(counted: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Matcher:
+    """With the frequencies of the templates' terms, one number for each of which comes to the driver."""
+    known = sorted({t for _, text in templates for t in terms(text)})
+    frequency = {r["term"]: r["n"] for r in counted.where(F.col("term").isNull() | F.col("term").isin(known)).collect()}
     documents = frequency.pop(None, 0)
     return Matcher(templates, {t: frequency.get(t, 0) for t in known}, documents, least)
 
@@ -361,7 +354,8 @@ def scan(docs: DataFrame, directory: Column, name: Column, templates=TEMPLATES,
     document's own licence or the inherited one; ``inherited_from`` is the directory that gave it.
     """
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), directory.alias("directory"), F.concat_ws("/", directory, name).alias("path"), F.col("text").cast("string").alias("text"))
-    found = found_licenses(placed, matcher(docs, templates, least))
+    counted = frequencies(docs)
+    found = found_licenses(placed, matcher(counted, templates, least), counted)
 
     votes = found.where("is_license_file").groupBy("directory", "own_license").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("n"), "own_license"))
