@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import materialize
+from tidemark.llm._shared import store
+from tidemark.sources.scratch import remove
 
 #: Far above what the logarithmic number of steps can reach; passing it means an error.
 MAX_STEPS = 100
@@ -30,7 +31,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``: long); the root is the component's smallest node and is listed too."""
-    current = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    plain = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current, path = store(plain, "links")
     seen = None
     for _ in range(MAX_STEPS):
         mark = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).collect()[0]
@@ -38,5 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
         seen = mark
-        current = materialize(_small_star(_large_star(current)), "links")
+        (current, path), before = store(_small_star(_large_star(current)), "links"), path
+        remove(edges.sparkSession, before)
     raise RuntimeError("components did not settle")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import map_arrow, materialize
-from tidemark.sources.scratch import shared_path
+from tidemark.sources.scratch import shared_path, temporary
 
 K = 5
 SCALE = 256
@@ -219,6 +219,13 @@ def _within(reach: dict[int, tuple[float, float]]) -> Column:
 
 def candidates(embeddings: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, sample_rows: int = SAMPLE_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """``FOUND``: for every query row the ``k`` best of each task that had something to compare, and the tasks' counts."""
+    with temporary(embeddings.sparkSession) as keep:
+        found, path = _candidates(embeddings, is_query, k, scale, query_block, sample_rows, pivots)
+        keep(path)
+    return found
+
+
+def _candidates(embeddings, is_query, k, scale, query_block, sample_rows, pivots) -> tuple[DataFrame, str]:
     spark = embeddings.sparkSession
     vectors = integers(embeddings, is_query, scale)
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec", "at").limit(sample_rows).toArrow()
@@ -227,7 +234,7 @@ def candidates(embeddings: DataFrame, is_query: Column, k: int = K, scale: int =
     out = shared_path(spark, "best")
     center = choose_pivots(sample, pivots)
     if not len(sample):
-        return spark.createDataFrame([], FOUND)
+        return spark.createDataFrame([], FOUND), out
     index = build(vectors, center, vectors.count())
     largest = {r["pivot"]: r["n"] for r in vectors_norms(index).groupBy("pivot").agg(F.max("n").alias("n")).collect()}  # one row per pivot
     asked = index.where("asked").select(*ORDER, "vec")
@@ -240,7 +247,7 @@ def candidates(embeddings: DataFrame, is_query: Column, k: int = K, scale: int =
             continue
         work = functools.partial(_search, queries=block, pivots=center, k=k)
         map_arrow(index.where(_within(block.reach(largest))), work, FOUND).write.mode("append").parquet(out)
-    return spark.read.schema(FOUND).parquet(out)
+    return spark.read.schema(FOUND).parquet(out), out
 
 
 def vectors_norms(index: DataFrame) -> DataFrame:
