@@ -135,8 +135,8 @@ def changed(rng, words, n, vocabulary):
     return [str(rng.choice(vocabulary)) if k in set(at.tolist()) else w for k, w in enumerate(words)]
 
 
-@pytest.mark.parametrize("unit", [16, 1 << 11])
-def test_deduplicate_against_all_pairs(spark, unit):
+@pytest.mark.parametrize(("unit", "blocks"), [(16, 1 << 20), (4, 1), (1 << 11, 32)])
+def test_deduplicate_against_all_pairs(spark, unit, blocks):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{k}" for k in range(3000)]
     passage = rng.choice(vocabulary, 60).tolist()
@@ -151,11 +151,24 @@ def test_deduplicate_against_all_pairs(spark, unit):
     want = brute_groups(texts)
     rows = [(i, t, "x", 1, 2) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, best_id string, tie long, row int")
-    got = simhash.deduplicate(df, unit=unit)
+    got = simhash.deduplicate(df, unit=unit, blocks=blocks)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
 
 
+def test_crowded_roots_are_parted(spark):
+    """A shingle that all share: with the parting below it, hardly any two of them meet, but copies do, in one trie."""
+    rows = [(i, i, 10, [7, *(1000 * j + (i // 2 if j < 4 else i) for j in range(1, 8))]) for i in range(400)]
+    entries = spark.createDataFrame(rows, "node long, fp long, n long, prior array<long>")
+    held = simhash.units(entries, F.col("prior"), unit=8, blocks=4, levels=3).collect()
+    met = {}
+    for r in held:
+        met.setdefault((r.key, r.i, r.j), []).append(r)
+    pairs = [(a.node, b.node, a.elsewhere) for group in met.values() for a in group for b in group if a.node < b.node]
+    first = [(a, b) for a, b, skip in pairs if not any(skip >> k & 1 and rows[a][3][k] == rows[b][3][k] for k in range(8))]
+    assert sorted(first) == [(i, i + 1) for i in range(0, 400, 2)] and len(held) < 3000
+
+
 def test_deduplicate_odd_rows(spark):
     names = ("best_id", "best_tie", "_tie", "_best_id", "node", "row", "id", "fp", "a.b")
     rows = [(3, "One two"), (3, "One two"), (None, "one two"), (None, "other words"), (2, None), (7, ""), (7, "x " * 50_000), (9, "x " * 50_000 + "y")]

@@ -182,6 +182,16 @@ def test_chain_finds_the_telling_words(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in toxicity.score(docs, chain).where(~F.col("is_toxic")).collect())
 
 
+def test_long_and_repeated_rows_are_scored_one_by_one(spark):
+    docs, labels = labelled(spark)
+    chain = toxicity.fit(docs, labels)
+    rows = [(1, "word1 " * 300_000 + "vileness"), (1, "word1 " * 300_000 + "vileness"), (2, "word2"), (2, "word2"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, p_toxic string, is_toxic boolean")
+    got = toxicity.score(df, chain).collect()
+    assert sorted(((r.doc_id, r.is_toxic) for r in got), key=str) == sorted([(1, True), (1, True), (2, False), (2, False), (None, False), (None, False)], key=str)
+    assert toxicity.clean(df, chain).columns == df.columns and toxicity.clean(df, chain).count() == 4
+
+
 def test_later_models_use_out_of_fold_predictions():
     rng = np.random.default_rng(0)
     n = 600

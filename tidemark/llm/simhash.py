@@ -16,7 +16,7 @@ root is compared:
 
 The join walks pairs of trie nodes from the root down. A pair adds up the bits in which its nodes'
 paths differ and is dropped as soon as they exceed the budget; pairs too small to be pruned are
-compared outright. Crowded roots are dealt into blocks by hash and joined block against block, so no
+compared outright. Roots that stay crowded are dealt into blocks by hash and joined block against block, so no
 task holds more than two blocks. Equal fingerprints (or texts) are one entry, so a group of
 copies of any size costs one. A task returns a spanning forest of the links that it found, not the
 links, and compares what its forest does not join already. Components come from those forests
@@ -42,8 +42,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import map_arrow, materialize, ship
+from tidemark.llm._shared import map_arrow, materialize, ship, store
 from tidemark.llm.components import components
+from tidemark.sources.scratch import temporary
 
 BITS = 64
 #: Of the links between fingerprints.
@@ -54,11 +55,14 @@ BUDGET = 2
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 NEAR_BUDGET = 18
-ROOTS = 5
+ROOTS = 8
 #: Fingerprints that a root should hold on average.
 ROOT_SIZE = 64
 #: Entries of one block of a crowded root.
 UNIT = 1 << 11
+#: Blocks of a root beyond which it is parted by further shingles, and how many shingles there can be.
+BLOCKS = 32
+LEVELS = 3
 #: Entries, and bytes of shingles, that a task gets at once on average.
 TASK_ROWS = 1 << 15
 TASK_BYTES = 1 << 25
@@ -254,11 +258,11 @@ class _Dealt:
 
     def __init__(self, batches):
         held = pa.Table.from_batches(batches)
-        columns = {c: held.column(c).to_numpy() for c in ("key", "i", "j", "side", "trie", "node", "fp")}
+        columns = {c: held.column(c).to_numpy() for c in ("key", "i", "j", "side", "elsewhere", "node", "fp")}
         fp = np.array(columns["fp"], np.int64).view(np.uint64)
         order = np.lexsort((fp, columns["side"], columns["j"], columns["i"], columns["key"]))
         self.table, self.order, self.fp = held, order, fp[order]
-        self.node, self.trie = columns["node"][order], columns["trie"][order]
+        self.node, self.elsewhere = columns["node"][order], columns["elsewhere"][order]
         unit = [columns[c][order] for c in ("key", "i", "j")]
         side = columns["side"][order]
         new = np.ones(len(order), bool)
@@ -270,14 +274,14 @@ class _Dealt:
         self.prior = held.column("prior").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
 
     def pairs(self, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Candidates, each in the first trie that its two entries share."""
+        """Candidates, each in the first of the tries that its two entries share."""
         blo = np.where(self.self_join, self.start, self.middle)
         ahi = np.where(self.self_join, self.stop, self.middle)
         some = (ahi > self.start) & (self.stop > blo)
         for a, b in walk(self.fp, self.start[some], ahi[some], blo[some], self.stop[some], budget):
             if self.prior.shape[1] and len(a):
-                before = np.arange(self.prior.shape[1])[None] < self.trie[a][:, None]
-                first = ~((self.prior[a] == self.prior[b]) & before).any(axis=1)
+                elsewhere = (self.elsewhere[a][:, None] >> np.arange(self.prior.shape[1])[None] & 1).astype(bool)
+                first = ~((self.prior[a] == self.prior[b]) & elsewhere).any(axis=1)
                 a, b = a[first], b[first]
             yield a, b
 
@@ -334,20 +338,35 @@ def _verify(_key, batches, budget: int, similarity: float) -> Iterator[pa.Record
     yield _edges(dealt, forest)
 
 
-ROWS = "key long, i int, j int, side int, trie int, node long, fp long, n long, prior array<long>"
+ROWS = "key long, i int, j int, side int, elsewhere long, node long, fp long, n long, prior array<long>"
 
 
-def units(entries: DataFrame, roots: Column, unit: int = UNIT) -> DataFrame:
-    """``ROWS``: every entry (``node, fp, n, prior``) below each of its roots that has others; crowded roots as pairs of blocks."""
-    rooted = entries.select("node", "fp", "n", "prior", F.posexplode(roots).alias("trie", "root"))
-    rooted = rooted.withColumn("key", F.xxhash64("trie", "root")).drop("root")
-    shared = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > 1)
-    blocks = F.ceil(F.col("here") / unit).cast("int")
+def units(entries: DataFrame, roots: Column, unit: int = UNIT, blocks: int = BLOCKS, levels: int = 1) -> DataFrame:
+    """``ROWS``: every entry (``node, fp, n, prior``) below each of its roots that has others.
+
+    Roots of more than ``blocks`` blocks are parted by further ones of the entries' ``prior`` shingles, up to
+    ``levels``; the others come as pairs of blocks. Bits of ``elsewhere`` stand for the shingles of ``prior``
+    that send a pair which shares them to another trie.
+    """
+    rows = entries.select("node", "fp", "n", "prior", F.posexplode(roots).alias("k", "root"))
+    rows = rows.select(F.xxhash64("k", "root").alias("key"), F.expr("shiftleft(1L, k)").alias("fixed"), F.expr("shiftleft(1L, k) - 1").alias("elsewhere"), "node", "fp", "n", "prior")
+    done = []
+    for level in range(1, levels + 1):
+        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > 1)
+        live = materialize(rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("here") / unit).cast("int")), "trie-rows")
+        crowded = F.col("blocks") > blocks if level < levels else F.lit(False)
+        done.append(live.where(~crowded))
+        live = live.where(crowded)
+        if level == levels or live.isEmpty():
+            break
+        deeper = live.select("key", "fixed", "elsewhere", "node", "fp", "n", "prior", F.posexplode("prior").alias("k", "root")).where(F.expr("fixed & shiftleft(1L, k)") == 0)
+        earlier = F.expr("elsewhere | ((shiftleft(1L, k) - 1) & ~fixed)")
+        rows = deeper.select(F.xxhash64("key", "k", "root").alias("key"), F.expr("fixed | shiftleft(1L, k)").alias("fixed"), earlier.alias("elsewhere"), "node", "fp", "n", "prior")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    live = rooted.join(shared, "key").withColumn("blocks", blocks).withColumn("block", block)
-    pairs = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = functools.reduce(DataFrame.unionByName, done).withColumn("block", block)
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mine, other = F.col("block"), F.col("other")
-    return pairs.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side"), "trie", "node", "fp", "n", "prior")
+    return pairs.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side"), "elsewhere", "node", "fp", "n", "prior")
 
 
 def _grouped(rows: DataFrame, groups: int):
@@ -360,7 +379,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFr
     masks = block_masks(distinct.count(), budget)
     entries = distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("prior"))
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    rows = materialize(units(entries, F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed)), unit), "trie-rows")
+    rows = units(entries, F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed)), unit)
     return _grouped(rows, math.ceil(rows.count() / TASK_ROWS)).applyInArrow(_two(functools.partial(_join, budget=budget)), "a long, b long")
 
 
@@ -373,15 +392,19 @@ def _two(work):
     return group
 
 
-def near_links(docs: DataFrame, entries: DataFrame, words: int, similarity: float, budget: int, unit: int = UNIT) -> DataFrame:
-    """Forests ``a, b`` of all links between different texts: ``entries`` has ``node, fp, n, prior`` and the ``best`` document of each."""
-    rows = materialize(units(entries, F.col("prior"), unit), "trie-rows")
+def near_links(docs: DataFrame, entries: DataFrame, words: int, similarity: float, budget: int, unit: int = UNIT, blocks: int = BLOCKS, again: bool = True) -> DataFrame:
+    """Forests ``a, b`` of all links between different texts: ``entries`` has ``node, fp, n, prior`` and the ``best`` document of each.
+
+    ``again``: whether whole rows may be given more than once.
+    """
+    rows = units(entries, F.col("prior"), unit, blocks, LEVELS)
     candidates = _grouped(rows, math.ceil(rows.count() / TASK_ROWS)).applyInArrow(_two(functools.partial(_candidates, budget=budget)), f"{ROWS}, task long")
     candidates = materialize(candidates.drop("task"), "candidates")
     wanted = entries.select("node", F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")).join(candidates.select("node").distinct(), "node", "left_semi")
     wanted = materialize(wanted, "wanted")  # if it is small, its size says so, and the texts need no shuffle
     found = _plain(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")))
-    found = found.dropDuplicates(["node"])
+    if again:
+        found = found.dropDuplicates(["node"])
     sets = materialize(map_arrow(found.select("node", "text"), functools.partial(_sets, words=words), "node long, held binary"), "shingles")
     size = candidates.agg(F.count(F.lit(1)).alias("rows"), F.sum(8 * F.col("n")).alias("bytes")).collect()[0]
     groups = max(math.ceil(size["rows"] / TASK_ROWS), math.ceil((size["bytes"] or 0) / TASK_BYTES))
@@ -412,21 +435,26 @@ def classes(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFr
 def report(docs: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
     """``doc_id, fingerprint`` (hexadecimal), ``component_id`` for every document."""
     prints = materialize(fingerprints(docs), "prints")
-    found = prints.join(classes(prints, budget, unit), "fingerprint")
+    with temporary(docs.sparkSession) as keep:
+        found, path = store(classes(prints, budget, unit).select("fingerprint", "component_id"), "classes")
+        keep(path)
+    found = prints.join(found, "fingerprint")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, budget: int = NEAR_BUDGET, roots: int = ROOTS, unit: int = UNIT) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, budget: int = NEAR_BUDGET, roots: int = ROOTS, unit: int = UNIT, blocks: int = BLOCKS) -> DataFrame:
     """The first document (smallest id) of every component of similar texts, with the columns of ``docs``."""
-    schema = "doc_id long, tie long, node long, fp long, n long, roots array<long>"
-    signed = materialize(map_arrow(_plain(docs), functools.partial(_signatures, words=words, count=roots), schema), "signatures")
-    entries = signed.groupBy("node").agg(_first(), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("roots").alias("prior"))
-    entries = materialize(entries, "texts")
-    best = _placed(entries, near_links(docs, entries, words, similarity, budget, unit)).select("best").distinct()
-    best = materialize(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")), "kept-ids")
+    with temporary(docs.sparkSession) as keep:
+        schema = "doc_id long, tie long, node long, fp long, n long, roots array<long>"
+        signed = materialize(map_arrow(_plain(docs), functools.partial(_signatures, words=words, count=roots), schema), "signatures")
+        entries = signed.groupBy("node").agg(_first(), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("roots").alias("prior"))
+        entries = materialize(entries, "texts")
+        again = not signed.groupBy("doc_id", "tie").count().where(F.col("count") > 1).isEmpty()
+        best = _placed(entries, near_links(docs, entries, words, similarity, budget, unit, blocks, again)).select("best").distinct()
+        best, path = store(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")), "kept-ids")
+        keep(path)
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), tie().alias("tie"))
     kept = held.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")), "left_semi")
-    again = signed.groupBy("doc_id", "tie").count().where(F.col("count") > 1)
-    if not again.isEmpty():  # whole rows given more than once
+    if again:  # whole rows given more than once
         kept = kept.dropDuplicates(["id", "tie"])
     return kept.select("row.*")
