@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WORD, count_words, let, text_or_empty
+from tidemark.llm._shared import WORD, let, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 SPACE = r"\x20\x09-\x0D"
@@ -34,13 +34,17 @@ WINDOW = 3
 SAMPLE_ROWS = 500
 
 
-def n_words(text: Column) -> Column:
-    return count_words(text)
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def word_chars(text: Column) -> Column:
+def n_words(words: Column) -> Column:
+    return F.size(words).cast("long")
+
+
+def word_chars(words: Column) -> Column:
     """Code points in words."""
-    return F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long")
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
@@ -61,7 +65,7 @@ def n_dup_lines(text: Column) -> Column:
     return let(_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(words: Column) -> Column:
     """Words covered by windows of three words that the text has twice or more.
 
     Window hashes show cheaply that nothing repeats; else the windows themselves are sorted with
@@ -99,10 +103,8 @@ def n_repeat_words(text: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    def count(words: Column) -> Column:
-        return F.when((F.size(words) > WINDOW) & repeats(words), let(placed(words), lambda p: covered(marked(p)))).otherwise(0)
-
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), count).cast("long")
+    found = F.when((F.size(words) > WINDOW) & repeats(words), let(placed(words), lambda p: covered(marked(p)))).otherwise(0)
+    return found.cast("long")
 
 
 def n_capitals(text: Column) -> Column:
@@ -111,19 +113,24 @@ def n_capitals(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Statistic:
-    """``work``: what it takes for a character of text, as a multiple of a plain pattern count."""
+    """``of`` the text, or of its words; ``work``: what it takes for a character of text, as a multiple of a plain pattern count."""
 
     of: Callable[[Column], Column]
     work: float
+    from_words: bool = False
 
 
+#: Stands for the array of words among what is bound; taking a text apart is the work of this many pattern counts.
+WORDS = "words"
+WORDS_WORK = 1.5
+
 STATISTICS: dict[str, Statistic] = {
-    "n_words": Statistic(n_words, 1.0),
-    "word_chars": Statistic(word_chars, 1.0),
+    "n_words": Statistic(n_words, 0.0, True),
+    "word_chars": Statistic(word_chars, 0.3, True),
     "n_symbols": Statistic(n_symbols, 1.0),
     "n_lines": Statistic(n_lines, 1.5),
     "n_dup_lines": Statistic(n_dup_lines, 2.0),
-    "n_repeat_words": Statistic(n_repeat_words, 6.0),
+    "n_repeat_words": Statistic(n_repeat_words, 4.0, True),
     "n_capitals": Statistic(n_capitals, 1.0),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -170,7 +177,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     text = F.col("text")
     picked = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows)
     names = dict.fromkeys(n for rule in rules for n in rule.needs)
-    held = picked.select(F.length(text).alias("chars"), *(STATISTICS[n].of(text).alias(n) for n in names))
+    held = picked.withColumn(WORDS, words_of(text)).select(F.length(text).alias("chars"), *(_statistic(n, text, F.col(WORDS)).alias(n) for n in names))
     flags = [F.coalesce(rule.rejects({n: F.col(n) for n in rule.needs}), F.lit(False)) for rule in rules]
     left = [(r["chars"] + 1, r["flags"]) for r in held.select("chars", F.array(*flags).alias("flags")).collect()] if rules else []
     there, open_, found = set(known), list(range(len(rules))), []
@@ -178,18 +185,23 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
         chars = sum(c for c, _ in left)
 
         def gain(k: int) -> tuple[int, float]:
-            work = sum(STATISTICS[n].work for n in rules[k].needs if n not in there)
+            missing = [STATISTICS[n] for n in rules[k].needs if n not in there]
+            work = sum(s.work for s in missing) + (WORDS_WORK if WORDS not in there and any(s.from_words for s in missing) else 0)
             return sum(f[k] for _, f in left), (work + 0.01) * chars  # noqa: B023
 
         # Most rejections for the cost first; rules that reject nothing by cost.
         best = max(open_, key=lambda k: (gain(k)[0] / max(gain(k)[1], 1.0), -gain(k)[1], -k))  # noqa: B023
         found.append(Estimate(rules[best], gain(best)[1], gain(best)[0], len(left)))
         left = [x for x in left if not x[1][best]]
-        there |= set(rules[best].needs)
+        there |= {*rules[best].needs, *(WORDS for n in rules[best].needs if STATISTICS[n].from_words)}
         open_.remove(best)
     return found
 
 
+def _statistic(name: str, text: Column, words: Column) -> Column:
+    return STATISTICS[name].of(words if STATISTICS[name].from_words else text)
+
+
 def cascade(order: Sequence[Rule], text: Column, known: Mapping[str, Column] | None = None) -> Column:
     """Name of the first rule of ``order`` that rejects, else null; what only later rules need is not computed."""
     known = dict(known or {})
@@ -203,7 +215,9 @@ def cascade(order: Sequence[Rule], text: Column, known: Mapping[str, Column] | N
 
     if not missing:
         return verdict(known)
-    return let(F.struct(*(STATISTICS[n].of(text).alias(n) for n in missing)), lambda s: verdict(known | {n: s[n] for n in missing}))
+    if WORDS not in known and any(STATISTICS[n].from_words for n in missing):
+        return let(words_of(text), lambda words: cascade(order, text, known | {WORDS: words}))
+    return let(F.struct(*(_statistic(n, text, known.get(WORDS, text)).alias(n) for n in missing)), lambda s: verdict(known | {n: s[n] for n in missing}))
 
 
 def _order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int, known: tuple[str, ...] = ()) -> list[Rule]:
@@ -229,7 +243,9 @@ def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     order = _order(docs, tuple(r for r in RULES if r not in BASE_RULES), sample_rows, BASE)
     text = F.col("text")
-    stats = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", *(STATISTICS[n].of(text).alias(n) for n in BASE))
+    taken = docs.select("doc_id", text_or_empty().alias("text"))
+    bound = let(words_of(text), lambda words: F.struct(*(_statistic(n, text, words).alias(n) for n in BASE)))
+    stats = taken.withColumn("base", bound).select("doc_id", "text", "base.*")
     known = {n: F.col(n) for n in BASE}
     judged = stats.withColumn("base_failed", reduce(Column.__or__, (r.rejects(known) for r in BASE_RULES)))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order, text, known).isNull())
