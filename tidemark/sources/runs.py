@@ -95,16 +95,18 @@ def prune_stats(stats: DataFrame, low: Any, high: Any) -> DataFrame:
 def overlap_pairs(stats: DataFrame, cells: int = 256) -> DataFrame:
     """Pairs of runs (a < b) with overlapping numeric key ranges, by an equi-join on at most ``cells`` cells.
 
-    The cells' edges are quantiles of the runs' smallest keys, so that their number does not depend on how
-    wide ranges are; a pair meets in every cell that both reach and is reported in the first.
+    Of two that overlap, the range of the one that begins first holds the beginning of the other: ranges go to all
+    cells that they reach, beginnings to their own, so a pair meets once. The cells' edges are quantiles of
+    the beginnings, so that their number does not depend on how wide ranges are.
     """
     edges = sorted(set(stats.approxQuantile("min_key", [k / cells for k in range(1, cells)], 1 / (4 * cells)))) if cells > 1 else []
     cell = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c)) if edges else F.lit(0)
-    placed = stats.select("run_id", "min_key", "max_key", F.explode(F.sequence(cell(F.col("min_key")), cell(F.col("max_key")))).alias("cell"))
-    a = placed.select(F.col("run_id").alias("a"), F.col("min_key").alias("a_low"), F.col("max_key").alias("a_high"), "cell")
-    b = placed.select(F.col("run_id").alias("b"), F.col("min_key").alias("b_low"), F.col("max_key").alias("b_high"), "cell")
-    meets = (F.col("a") < F.col("b")) & (F.col("a_low") <= F.col("b_high")) & (F.col("b_low") <= F.col("a_high"))
-    return a.join(b, "cell").where(meets & (F.col("cell") == cell(F.greatest("a_low", "b_low")))).select("a", "b")
+    reach = F.explode(F.sequence(cell(F.col("min_key")), cell(F.col("max_key")))).alias("cell")
+    ranges = stats.select(F.col("run_id").alias("x"), F.col("min_key").alias("low"), F.col("max_key").alias("high"), reach)
+    begins = stats.select(F.col("run_id").alias("y"), F.col("min_key").alias("begin"), cell(F.col("min_key")).alias("cell"))
+    before = (F.col("low") < F.col("begin")) | ((F.col("low") == F.col("begin")) & (F.col("x") < F.col("y")))
+    found = ranges.join(begins, "cell").where(before & (F.col("begin") <= F.col("high")))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _bits(key: str, hashes: int, bits: int) -> Column:
