@@ -19,6 +19,7 @@ from tidemark.sources.scratch import shared_path
 #: One word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+SPREAD_BYTES = 3 << 20
 
 _shipped: set[str] = set()
 
@@ -52,8 +53,16 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the given folder; ``spread``: with a task for each core, however few row groups a small one has.
+
+    A row group is read by one task. Where a whole table is hardly more than one, moving its rows costs less
+    than working on their texts in one task; a table of ``SPREAD_BYTES`` a core or more is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if spread and size < cores * SPREAD_BYTES else df
 
 
 def ship(spark: SparkSession) -> None:

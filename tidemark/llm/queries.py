@@ -27,36 +27,36 @@ def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents", spread=True))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(table(spark, sf_dir, "pages"))
+    return extract.extract(table(spark, sf_dir, "pages", spread=True))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(table(spark, sf_dir, "documents"))
+    return quality.report(table(spark, sf_dir, "documents", spread=True))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(table(spark, sf_dir, "documents"))
+    return mixing.report(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.report(table(spark, sf_dir, "documents"))
+    return simhash.report(table(spark, sf_dir, "documents", spread=True))
 
 
 def op9_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.training_shards(table(spark, sf_dir, "documents"))
+    return shards.training_shards(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(table(spark, sf_dir, "documents")).withColumns({"score": F.round("score", 6), "line": F.col("line").cast("string")})
+    return licenses.report(table(spark, sf_dir, "documents", spread=True)).withColumns({"score": F.round("score", 6), "line": F.col("line").cast("string")})
 
 
 QUERIES: dict[str, Query] = {
