@@ -80,7 +80,8 @@ def n_repeat_words(words: Column) -> Column:
         return F.sequence(F.lit(0), F.size(words) - WINDOW)
 
     def hashes(words: Column) -> Column:
-        return F.transform(starts(words), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
+        # The last two, which run out of words, only add two values that no window has.
+        return F.transform(words, lambda word, i: F.xxhash64(word, *(F.get(words, i + k) for k in range(1, WINDOW))))
 
     def repeats(words: Column) -> Column:
         return let(hashes(words), lambda h: F.size(F.array_distinct(h)) < F.size(h))
