@@ -64,8 +64,8 @@ UNIT = 1 << 11
 BLOCKS = 32
 LEVELS = 3
 #: Entries, and bytes of shingles, that a task gets at once on average.
-TASK_ROWS = 1 << 15
-TASK_BYTES = 1 << 25
+TASK_ROWS = 1 << 13
+TASK_BYTES = 1 << 22
 #: Node pairs and compared pairs that a task holds at once.
 CHUNK = 1 << 16
 PAIRS = 1 << 20
