@@ -156,6 +156,42 @@ def test_deduplicate_against_all_pairs(spark, unit, blocks):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize(("roots", "budget", "unit", "blocks"), [(8, 18, 1 << 11, 32), (1, 0, 1 << 11, 32), (2, 3, 4, 1)])
+def test_no_link_is_lost_to_roots_and_budget(spark, roots, budget, unit, blocks):
+    """Pairs at 0.8 that differ in more than 18 bits or share none of the roots, beside crowds of copies and a passage that all share."""
+    prints = lambda t: simhash.majority(simhash.shingles(t))
+    ends = [(" ".join(f"p{k}w{i}" for i in range(13)), " ".join([*(f"p{k}w{i}" for i in range(12)), "end"])) for k in range(20_000)]
+    far = [p for p in ends if (prints(p[0]) ^ prints(p[1])).bit_count() > 18][:4]
+    assert far
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = rng.choice(vocabulary, 100).tolist()
+    texts = [*TEXTS, *(t for pair in far for t in pair)]
+    for size in (40, 100, 400):
+        for _ in range(6):
+            base = rng.choice(vocabulary, size).tolist()
+            texts += [" ".join(changed(rng, base, n, vocabulary)) for n in (0, 1, size // 50 + 1, size // 40, size // 20)]
+    texts += [" ".join(passage + rng.choice(vocabulary, int(n)).tolist()) for n in rng.integers(1, 60, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.deduplicate(df, roots=roots, budget=budget, unit=unit, blocks=blocks)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_groups(texts)))
+
+
+def test_similar_sets_share_a_first_shingle_and_pass_the_bins():
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    order = (np.sort(common), np.arange(50) + 2)
+    for size in [*range(1, 40), 300, 3000]:
+        whole = np.unique(np.concatenate([rng.integers(0, 2**64, size, dtype=np.uint64), common[: size // 2]]))
+        for lost in range(int(0.25 * len(whole)) + 1):
+            mine, theirs = whole, np.sort(rng.permutation(whole)[lost:])
+            if simhash.alike(mine, theirs, 0.8):
+                assert set(simhash.first_shingles(mine, 0.8, order).tolist()) & set(simhash.first_shingles(theirs, 0.8, order).tolist())
+                for count in (simhash.BINS, simhash.FINE_BINS):
+                    counts = np.array([np.frombuffer(simhash.bins(h, count), np.uint8) for h in (mine, theirs)])
+                    assert simhash.within_bins(counts, np.array([len(mine), len(theirs)]), np.array([0]), np.array([1]), 0.8).all()
+
+
 def test_crowded_roots_are_parted(spark):
     """A shingle that all share: with the parting below it, hardly any two of them meet, but copies do, in one trie."""
     rows = [(i, i, 10, [7, *(1000 * j + (i // 2 if j < 4 else i) for j in range(1, 8))]) for i in range(400)]

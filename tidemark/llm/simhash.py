@@ -11,8 +11,12 @@ root is compared:
 * :func:`deduplicate` links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
   more. Fingerprints of such texts differ in 10 bits on average, too many for blocks, so the roots
   are the texts' smallest shingles under ``ROOTS`` hash functions (a pair at 0.8 shares none once in
-  3000), the error budget is 18 bits (a pair at 0.8 passes it twice in 1000), and every pair that
-  is left is checked on the whole sets of shingles. Pairs below 0.8 are never linked.
+  400 000), the error budget is 18 bits (a pair at 0.8 exceeds it twice in 1000), and every pair that
+  is left is checked on the whole sets of shingles. Pairs below 0.8 are never linked. What roots, budget
+  and parted roots may have lost is found exactly (:func:`missed_links`): two texts at 0.8 share one of
+  the first shingles of each in any one order, as many as a fifth of them and one more. Texts of different
+  components that meet below such a shingle, and pass bounds that no linked pair can fail, get into one
+  cluster, and the texts of a cluster are compared with each other.
 
 The join walks pairs of trie nodes from the root down. A pair adds up the bits in which its nodes'
 paths differ and is dropped as soon as they exceed the budget; pairs too small to be pruned are
@@ -70,6 +74,16 @@ TASK_BYTES = 1 << 22
 CHUNK = 1 << 16
 PAIRS = 1 << 20
 LEAF = 64
+#: Texts, and characters of each, that tell which shingles are frequent; their order is all that depends on it.
+COMMON_ROWS = 1 << 10
+COMMON_CHARS = 1 << 14
+COMMON = 1 << 16
+#: Bins that a set's shingles are counted in by their highest bits, at first and then; pairs whose bins are compared at once.
+BINS = 64
+FINE_BINS = 1 << 10
+BIN_PAIRS = 1 << 12
+#: Texts of one block of a large cluster.
+CLUSTER = 1 << 9
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -131,7 +145,39 @@ def _fingerprints(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(found)], names=["doc_id", "tie", "fingerprint"])
 
 
-def _signatures(batches, words: int, count: int) -> Iterator[pa.RecordBatch]:
+def first_shingles(held: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in an order that all texts share, rare ones first: sets of this similarity have one of them in common."""
+    values, counts = common
+    count = max(0, len(held) - math.ceil(similarity * len(held) - 1e-9) + 1) if len(held) else 0
+    if len(values):
+        at = np.minimum(np.searchsorted(values, held), len(values) - 1)
+        frequent = np.where(values[at] == held, counts[at], 0)
+    else:
+        frequent = np.zeros(len(held), np.int64)
+    return held[np.lexsort((_mix(held), frequent))[:count]]
+
+
+def bins(held: np.ndarray, count: int = BINS) -> bytes:
+    """How many shingles there are in each bin, up to 255; ``count``: a power of two."""
+    return np.minimum(np.bincount((held >> np.uint64(BITS + 1 - count.bit_length())).astype(np.int64), minlength=count), 255).astype(np.uint8).tobytes()
+
+
+def most_apart(n, similarity: float):
+    """In how many shingles two sets of together ``n`` at most differ, and so the counts in any bins."""
+    return n * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a bounded sample of the texts has more than once, sorted, and how often."""
+    picked = _plain(docs).select(F.substring("text", 1, COMMON_CHARS).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(COMMON_ROWS)
+    held = [shingles(t, words) for t in {r.text for r in picked.collect()}]
+    values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+    most = np.sort(np.argsort(-counts, kind="stable")[:COMMON])
+    most = most[counts[most] > 1]
+    return values[most], counts[most]
+
+
+def _signatures(batches, words: int, count: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             rows = batch.slice(k, 256)
@@ -140,10 +186,13 @@ def _signatures(batches, words: int, count: int) -> Iterator[pa.RecordBatch]:
             node = np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(t))) for t in texts], np.uint64)
             prints = np.array([majority(h) if len(h) else 0 for h in held], np.uint64)
             roots = np.array([roots_of(h, count) for h in held], np.uint64).reshape(-1)
+            first = [first_shingles(h, similarity, common) for h in held]
+            ends = np.cumsum([0, *(len(x) for x in first)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("tie"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array([len(h) for h in held], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * count), pa.array(roots.view(np.int64)))],
-                names=["doc_id", "tie", "node", "fp", "n", "roots"],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * count), pa.array(roots.view(np.int64))),
+                 pa.array([bins(h) for h in held], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))],
+                names=["doc_id", "tie", "node", "fp", "n", "roots", "bins", "first"],
             )
 
 
@@ -238,7 +287,13 @@ def _outright(fp, alo, ahi, blo, bhi, budget):
     n = ahi - alo
     i = np.repeat(alo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     low = np.where(np.repeat(alo == blo, n), i + 1, np.repeat(blo, n))
-    width = np.repeat(bhi, n) - low
+    for left, right in _spans(i, low, np.repeat(bhi, n) - low):
+        near = np.bitwise_count(fp[left] ^ fp[right]) <= budget
+        yield left[near], right[near]
+
+
+def _spans(i: np.ndarray, low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each index in ``i`` with ``width`` indices from ``low`` on, a bounded number at a time."""
     some = width > 0
     i, low, width = i[some], low[some], width[some]
     upto = np.cumsum(width)
@@ -248,8 +303,7 @@ def _outright(fp, alo, ahi, blo, bhi, budget):
         w = width[at:to]
         left = np.repeat(i[at:to], w)
         right = np.repeat(low[at:to], w) + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w)
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= budget
-        yield left[near], right[near]
+        yield left, right
         at = to
 
 
@@ -392,33 +446,155 @@ def _two(work):
     return group
 
 
+def _sets_of(docs: DataFrame, entries: DataFrame, nodes: DataFrame, words: int, again: bool) -> DataFrame:
+    """``node, held``: the whole sets of shingles of ``nodes``."""
+    wanted = entries.select("node", F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")).join(nodes.distinct(), "node", "left_semi")
+    wanted = materialize(wanted, "wanted")  # if it is small, its size says so, and the texts need no shuffle
+    found = _plain(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")))
+    if again:
+        found = found.dropDuplicates(["node"])
+    return materialize(map_arrow(found.select("node", "text"), functools.partial(_sets, words=words), "node long, held binary"), "shingles")
+
+
 def near_links(docs: DataFrame, entries: DataFrame, words: int, similarity: float, budget: int, unit: int = UNIT, blocks: int = BLOCKS, again: bool = True) -> DataFrame:
-    """Forests ``a, b`` of all links between different texts: ``entries`` has ``node, fp, n, prior`` and the ``best`` document of each.
+    """Forests ``a, b`` of the links between different texts that share a root and are within the budget: ``entries`` has ``node, fp, n, prior`` and the ``best`` document of each.
 
     ``again``: whether whole rows may be given more than once.
     """
     rows = units(entries, F.col("prior"), unit, blocks, LEVELS)
     candidates = _grouped(rows, math.ceil(rows.count() / TASK_ROWS)).applyInArrow(_two(functools.partial(_candidates, budget=budget)), f"{ROWS}, task long")
     candidates = materialize(candidates.drop("task"), "candidates")
-    wanted = entries.select("node", F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")).join(candidates.select("node").distinct(), "node", "left_semi")
-    wanted = materialize(wanted, "wanted")  # if it is small, its size says so, and the texts need no shuffle
-    found = _plain(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")))
-    if again:
-        found = found.dropDuplicates(["node"])
-    sets = materialize(map_arrow(found.select("node", "text"), functools.partial(_sets, words=words), "node long, held binary"), "shingles")
+    sets = _sets_of(docs, entries, candidates.select("node"), words, again)
     size = candidates.agg(F.count(F.lit(1)).alias("rows"), F.sum(8 * F.col("n")).alias("bytes")).collect()[0]
     groups = max(math.ceil(size["rows"] / TASK_ROWS), math.ceil((size["bytes"] or 0) / TASK_BYTES))
     work = functools.partial(_verify, budget=budget, similarity=similarity)
     return _grouped(candidates.join(sets, "node"), groups).applyInArrow(_two(work), "a long, b long")
 
 
+class _Apart:
+    """The rows of one task: whole units, each a range with its two sides sorted by component."""
+
+    def __init__(self, batches):
+        held = pa.Table.from_batches(batches)
+        columns = {c: held.column(c).to_numpy() for c in ("key", "i", "j", "side", "root", "node", "n")}
+        self.table, self.order = held, np.lexsort([columns[c] for c in ("root", "side", "j", "i", "key")])
+        self.columns = {c: x[self.order] for c, x in columns.items()}
+        self.n, self.root = self.columns["n"], self.columns["root"]
+        self.counts = self.bins_of("bins")
+        self.nodes, self.node = np.unique(self.columns["node"], return_inverse=True)
+
+    def bins_of(self, column: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.table.column(column).take(pa.array(self.order)).to_pylist()), np.uint8).reshape(len(self.order), -1)
+
+    def _runs(self, *names: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where the run of equal values that each row lies in starts and stops."""
+        new = np.ones(len(self.order), bool)
+        new[1:] = np.logical_or.reduce([self.columns[c][1:] != self.columns[c][:-1] for c in names])
+        start, of = np.flatnonzero(new), np.cumsum(new) - 1
+        return start[of], np.append(start[1:], len(new))[of]
+
+    def _spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Within a block a row meets the components behind its own; across blocks it meets the other block but for its own component."""
+        unit, side, same = (self._runs("key", "i", "j", *more) for more in ((), ("side",), ("side", "root")))
+        within = self.columns["i"] == self.columns["j"]
+        yield np.flatnonzero(within), same[1][within], (unit[1] - same[1])[within]
+        left = np.flatnonzero(~within & (self.columns["side"] == 0))
+        low, high = side[1][left], unit[1][left]
+        skip, past = low.copy(), low.copy()
+        for a in np.unique(low):
+            mine = low == a
+            there, own = self.root[a : high[mine][0]], self.root[left[mine]]
+            skip[mine], past[mine] = a + np.searchsorted(there, own), a + np.searchsorted(there, own, "right")
+        yield left, low, skip - low
+        yield left, past, high - past
+
+    def pairs(self, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different components that sizes and bins do not rule out."""
+        for a, b in itertools.chain.from_iterable(_spans(*s) for s in self._spans()):
+            sized = np.minimum(self.n[a], self.n[b]) >= similarity * np.maximum(self.n[a], self.n[b]) - 1e-9
+            a, b = a[sized], b[sized]
+            near = within_bins(self.counts, self.n, a, b, similarity)
+            yield a[near], b[near]
+
+
+def within_bins(counts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of each pair can be so similar by the counts in their bins."""
+    near = [np.zeros(0, bool)]
+    for k in range(0, len(a), BIN_PAIRS):
+        x, y = a[k : k + BIN_PAIRS], b[k : k + BIN_PAIRS]
+        near.append(np.abs(counts[x].astype(np.int16) - counts[y]).sum(axis=1) <= most_apart(n[x] + n[y], similarity))
+    return np.concatenate(near)
+
+
+def _forest_of(apart: _Apart, forest: _Forest) -> pa.RecordBatch:
+    root = forest.roots()
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([pa.array(apart.nodes[root[linked]]), pa.array(apart.nodes[linked])], names=["a", "b"])
+
+
+def _clusters(_key, batches, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The spanning forest of the pairs below one task's shingles that might be links."""
+    apart = _Apart(list(batches))
+    forest = _Forest(len(apart.nodes))
+    for a, b in apart.pairs(similarity):
+        forest.link(apart.node[a], apart.node[b])
+    yield _forest_of(apart, forest)
+
+
+def _verify_clusters(_key, batches, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The spanning forest of the links in one task's clusters, and of the components that they join."""
+    apart = _Apart(list(batches))
+    held = [np.frombuffer(x.as_buffer(), "<u8") for x in apart.table.column("held").take(pa.array(apart.order))]
+    fine = np.frombuffer(b"".join(bins(h, FINE_BINS) for h in held), np.uint8).reshape(len(held), -1)
+    forest, some = _Forest(len(apart.nodes)), False
+    firsts = np.unique(apart.root, return_index=True, return_inverse=True)[1:]
+    forest.link(apart.node, apart.node[firsts[0][firsts[1]]])
+    for a, b in apart.pairs(similarity):
+        near = within_bins(fine, apart.n, a, b, similarity)
+        a, b, size = a[near], b[near], 64
+        while len(a):
+            root = forest.roots()
+            unlinked = root[apart.node[a]] != root[apart.node[b]]
+            a, b = a[unlinked], b[unlinked]
+            good = np.array([alike(held[x], held[y], similarity) for x, y in zip(a[:size].tolist(), b[:size].tolist(), strict=True)], bool)
+            forest.link(apart.node[a[:size][good]], apart.node[b[:size][good]])
+            some |= bool(good.any())
+            a, b, size = a[size:], b[size:], min(2 * size, 4096)
+    if some:
+        yield _forest_of(apart, forest)
+
+
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """Rows with a ``key`` of ``blocks`` blocks as pairs of blocks."""
+    pairs = keyed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine, other = F.col("block"), F.col("other")
+    return pairs.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), (mine > other).cast("int").alias("side"), "root", "node", "n", "bins")
+
+
+def missed_links(docs: DataFrame, entries: DataFrame, roots: DataFrame, words: int, similarity: float, unit: int = UNIT, again: bool = True) -> DataFrame:
+    """Forests ``a, b`` of all links between texts of different components; ``roots`` has the component of every node that has one."""
+    rows = entries.select("node", "n", "bins", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = rows.select("root", F.explode("first").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
+    shared = materialize(shared.select("key", F.ceil(F.col("here") / unit).cast("int").alias("blocks"), "here"), "shared-shingles")
+    total = shared.agg(F.sum(F.col("here") * F.col("blocks"))).collect()[0][0] or 0
+    met = _blocks(rows.select("node", "n", "bins", "root", F.explode("first").alias("key")).join(shared.drop("here"), "key"))
+    met = _grouped(met, math.ceil(total / TASK_ROWS)).applyInArrow(_two(functools.partial(_clusters, similarity=similarity)), "a long, b long")
+    cluster = materialize(components(materialize(met, "met")).withColumnRenamed("root", "key"), "clusters")
+    sizes = cluster.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / min(unit, CLUSTER)).cast("int").alias("blocks"))
+    sets = _sets_of(docs, entries, cluster.select("node"), words, again)
+    placed = materialize(_blocks(rows.drop("first").join(cluster, "node").join(sizes, "key")), "placed-clusters")
+    size = placed.agg(F.count(F.lit(1)).alias("rows"), F.sum(8 * F.col("n")).alias("bytes")).collect()[0]
+    groups = max(math.ceil(size["rows"] / TASK_ROWS), math.ceil((size["bytes"] or 0) / TASK_BYTES))
+    return _grouped(placed.join(sets, "node"), groups).applyInArrow(_two(functools.partial(_verify_clusters, similarity=similarity)), "a long, b long")
+
+
 def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tie"))).alias("best")
 
 
-def _placed(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def _placed(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """``node, best`` of ``entries``, the latter of the node's component."""
-    roots = components(materialize(edges, "forest"))
     placed = entries.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed, "placed")
     best = placed.groupBy("root").agg(F.min("best").alias("best"))
@@ -428,7 +604,7 @@ def _placed(entries: DataFrame, edges: DataFrame) -> DataFrame:
 def classes(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
     """``fingerprint, component_id, best``: a row for each distinct fingerprint; ``best`` is the component's first document."""
     distinct = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(_first()), "fingerprints")
-    placed = _placed(distinct.withColumnRenamed("fp", "node"), links(distinct.select("fp"), budget, unit))
+    placed = _placed(distinct.withColumnRenamed("fp", "node"), components(materialize(links(distinct.select("fp"), budget, unit), "forest")))
     return placed.select(F.col("node").alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "best")
 
 
@@ -445,12 +621,17 @@ def report(docs: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame
 def deduplicate(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, budget: int = NEAR_BUDGET, roots: int = ROOTS, unit: int = UNIT, blocks: int = BLOCKS) -> DataFrame:
     """The first document (smallest id) of every component of similar texts, with the columns of ``docs``."""
     with temporary(docs.sparkSession) as keep:
-        schema = "doc_id long, tie long, node long, fp long, n long, roots array<long>"
-        signed = materialize(map_arrow(_plain(docs), functools.partial(_signatures, words=words, count=roots), schema), "signatures")
-        entries = signed.groupBy("node").agg(_first(), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("roots").alias("prior"))
-        entries = materialize(entries, "texts")
+        schema = "doc_id long, tie long, node long, fp long, n long, roots array<long>, bins binary, first array<long>"
+        work = functools.partial(_signatures, words=words, count=roots, similarity=similarity, common=common_shingles(docs, words))
+        signed = materialize(map_arrow(_plain(docs), work, schema), "signatures")
+        of_text = (F.first(c).alias(name) for c, name in (("fp", "fp"), ("n", "n"), ("roots", "prior"), ("bins", "bins"), ("first", "first")))
+        entries = materialize(signed.groupBy("node").agg(_first(), *of_text), "texts")
         again = not signed.groupBy("doc_id", "tie").count().where(F.col("count") > 1).isEmpty()
-        best = _placed(entries, near_links(docs, entries, words, similarity, budget, unit, blocks, again)).select("best").distinct()
+        linked = materialize(components(materialize(near_links(docs, entries, words, similarity, budget, unit, blocks, again), "forest")), "linked")
+        missed = materialize(missed_links(docs, entries, linked, words, similarity, unit, again), "missed")
+        if not missed.isEmpty():
+            linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed))
+        best = _placed(entries, linked).select("best").distinct()
         best, path = store(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie")), "kept-ids")
         keep(path)
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), tie().alias("tie"))
