@@ -129,6 +129,29 @@ def test_boilerplate_in_articles_goes_and_shared_text_stays(spark):
         assert got[i] == "\n".join(b for b in page(i)[1] if b != notice)
 
 
+def test_articles_that_the_host_repeats_go_beside_a_unique_one(spark):
+    teasers = [" ".join(f"t{k}w{i}" for i in range(12)) for k in range(3)]
+    story = [" ".join(f"s{k}w{i}" for i in range(30)) for k in range(6)]
+    card = lambda t: f"<article><h2>{t.split()[0]}</h2><p>{t}</p></article>"
+    text = lambda t: f"{t.split()[0]}\n{t}"
+    pages = {k: (f"<nav>menu</nav>{card(story[k])}{card(teasers[k % 2])}", text(story[k])) for k in range(4)}
+    pages[4] = (f"{card(story[4])}{card(teasers[2])}", f"{text(story[4])}\n{text(teasers[2])}")  # on no other page
+    pages[5] = (card(teasers[0]), text(teasers[0]))  # the story's own page
+    pages[6] = (f"{card(teasers[0])}{card(teasers[1])}", f"{text(teasers[0])}\n{text(teasers[1])}")  # nothing else there
+    pages[7] = (f"{card(story[5] + ' ' + teasers[0])}{card(teasers[1])}", text(story[5] + " " + teasers[0]))  # a quote stays
+    pages[0] = (pages[0][0], f"{text(story[0])}\n{text(teasers[0])}")  # the next one is a copy: nothing is unique
+    pages[8] = (f"{card(story[0])}<article>short one</article>", f"{text(story[0])}\nshort one")  # beside less than a run
+    short = "shorter " + " ".join(f"u{i}" for i in range(9))
+    pages[10] = (f"{card(story[1])}{card(short)}", f"{text(story[1])}\n{text(short)}")  # a copy, beside a shorter unique one
+    pages[1] = (pages[1][0], f"{text(story[1])}\n{text(teasers[1])}")
+    rows = [(k, f"http://h.com/{k}", page) for k, (page, _) in pages.items()]
+    df = spark.createDataFrame([*rows, (9, "http://other.com/9", pages[0][0])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(df).collect()}
+    want = {k: t for k, (_, t) in pages.items()}
+    assert {k: got[k] for k in pages} == want
+    assert got[9] == f"{text(story[0])}\n{text(teasers[0])}"
+
+
 @needs_data
 def test_without_article_tags_unique_text_stays(spark):
     """The pages of the test data with their article and footer tags taken away: the suffix array decides alone."""
