@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import map_arrow, materialize, ship, store
 from tidemark.llm.components import components
-from tidemark.sources.scratch import temporary
+from tidemark.sources.scratch import remove, temporary
 
 BITS = 64
 #: Of the links between fingerprints.
@@ -78,12 +78,10 @@ LEAF = 64
 COMMON_ROWS = 1 << 10
 COMMON_CHARS = 1 << 14
 COMMON = 1 << 16
-#: Bins that a set's shingles are counted in by their highest bits, at first and then; pairs whose bins are compared at once.
+#: Bins that a set's shingles are counted in by their highest bits, at least (by its size) and at most; pairs whose bins are compared at once.
 BINS = 64
 FINE_BINS = 1 << 10
 BIN_PAIRS = 1 << 12
-#: Texts of one block of a large cluster.
-CLUSTER = 1 << 9
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -162,6 +160,11 @@ def bins(held: np.ndarray, count: int = BINS) -> bytes:
     return np.minimum(np.bincount((held >> np.uint64(BITS + 1 - count.bit_length())).astype(np.int64), minlength=count), 255).astype(np.uint8).tobytes()
 
 
+def bins_by_size(held: np.ndarray) -> bytes:
+    """Bins for two to four shingles each."""
+    return bins(held, min(FINE_BINS, max(BINS, 1 << (len(held) // 4).bit_length())))
+
+
 def most_apart(n, similarity: float):
     """In how many shingles two sets of together ``n`` at most differ, and so the counts in any bins."""
     return n * (1 - similarity) / (1 + similarity) + 1e-6
@@ -191,7 +194,7 @@ def _signatures(batches, words: int, count: int, similarity: float, common: tupl
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("tie"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), pa.array([len(h) for h in held], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * count), pa.array(roots.view(np.int64))),
-                 pa.array([bins(h) for h in held], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))],
+                 pa.array([bins_by_size(h) for h in held], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))],
                 names=["doc_id", "tie", "node", "fp", "n", "roots", "bins", "first"],
             )
 
@@ -480,11 +483,19 @@ class _Apart:
         self.table, self.order = held, np.lexsort([columns[c] for c in ("root", "side", "j", "i", "key")])
         self.columns = {c: x[self.order] for c, x in columns.items()}
         self.n, self.root = self.columns["n"], self.columns["root"]
-        self.counts = self.bins_of("bins")
+        counts = [np.frombuffer(x, np.uint8) for x in held.column("bins").take(pa.array(self.order)).to_pylist()]
+        self.width = np.array([len(x) for x in counts], np.int64)
+        self.counts = {int(w): self._folded(counts, int(w)) for w in np.unique(self.width)}
         self.nodes, self.node = np.unique(self.columns["node"], return_inverse=True)
 
-    def bins_of(self, column: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.table.column(column).take(pa.array(self.order)).to_pylist()), np.uint8).reshape(len(self.order), -1)
+    @staticmethod
+    def _folded(counts: list[np.ndarray], width: int) -> np.ndarray:
+        """The counts of all rows of so many bins or more, added up to so many."""
+        found = np.zeros((len(counts), width), np.uint8)
+        for k, x in enumerate(counts):
+            if len(x) >= width:
+                found[k] = x if len(x) == width else np.minimum(x.reshape(width, -1).sum(axis=1, dtype=np.int64), 255)
+        return found
 
     def _runs(self, *names: str) -> tuple[np.ndarray, np.ndarray]:
         """Where the run of equal values that each row lies in starts and stops."""
@@ -513,8 +524,11 @@ class _Apart:
         for a, b in itertools.chain.from_iterable(_spans(*s) for s in self._spans()):
             sized = np.minimum(self.n[a], self.n[b]) >= similarity * np.maximum(self.n[a], self.n[b]) - 1e-9
             a, b = a[sized], b[sized]
-            near = within_bins(self.counts, self.n, a, b, similarity)
-            yield a[near], b[near]
+            width = np.minimum(self.width[a], self.width[b])
+            for w in np.unique(width).tolist():
+                x, y = a[width == w], b[width == w]
+                near = within_bins(self.counts[w], self.n, x, y, similarity)
+                yield x[near], y[near]
 
 
 def within_bins(counts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -581,7 +595,7 @@ def missed_links(docs: DataFrame, entries: DataFrame, roots: DataFrame, words: i
     met = _blocks(rows.select("node", "n", "bins", "root", F.explode("first").alias("key")).join(shared.drop("here"), "key"))
     met = _grouped(met, math.ceil(total / TASK_ROWS)).applyInArrow(_two(functools.partial(_clusters, similarity=similarity)), "a long, b long")
     cluster = materialize(components(materialize(met, "met")).withColumnRenamed("root", "key"), "clusters")
-    sizes = cluster.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / min(unit, CLUSTER)).cast("int").alias("blocks"))
+    sizes = cluster.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("blocks"))
     sets = _sets_of(docs, entries, cluster.select("node"), words, again)
     placed = materialize(_blocks(rows.drop("first").join(cluster, "node").join(sizes, "key")), "placed-clusters")
     size = placed.agg(F.count(F.lit(1)).alias("rows"), F.sum(8 * F.col("n")).alias("bytes")).collect()[0]
@@ -623,10 +637,11 @@ def deduplicate(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     with temporary(docs.sparkSession) as keep:
         schema = "doc_id long, tie long, node long, fp long, n long, roots array<long>, bins binary, first array<long>"
         work = functools.partial(_signatures, words=words, count=roots, similarity=similarity, common=common_shingles(docs, words))
-        signed = materialize(map_arrow(_plain(docs), work, schema), "signatures")
+        signed, written = store(map_arrow(_plain(docs), work, schema), "signatures")
         of_text = (F.first(c).alias(name) for c, name in (("fp", "fp"), ("n", "n"), ("roots", "prior"), ("bins", "bins"), ("first", "first")))
         entries = materialize(signed.groupBy("node").agg(_first(), *of_text), "texts")
         again = not signed.groupBy("doc_id", "tie").count().where(F.col("count") > 1).isEmpty()
+        remove(docs.sparkSession, written)
         linked = materialize(components(materialize(near_links(docs, entries, words, similarity, budget, unit, blocks, again), "forest")), "linked")
         missed = materialize(missed_links(docs, entries, linked, words, similarity, unit, again), "missed")
         if not missed.isEmpty():
