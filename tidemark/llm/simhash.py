@@ -592,7 +592,8 @@ def missed_links(docs: DataFrame, entries: DataFrame, roots: DataFrame, words: i
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
     shared = materialize(shared.select("key", F.ceil(F.col("here") / unit).cast("int").alias("blocks"), "here"), "shared-shingles")
     total = shared.agg(F.sum(F.col("here") * F.col("blocks"))).collect()[0][0] or 0
-    met = _blocks(rows.select("node", "n", "bins", "root", F.explode("first").alias("key")).join(shared.drop("here"), "key"))
+    met = entries.select("node", F.explode("first").alias("key")).join(shared.drop("here"), "key")  # without the bins: most shingles go here
+    met = _blocks(met.join(rows.drop("first"), "node"))
     met = _grouped(met, math.ceil(total / TASK_ROWS)).applyInArrow(_two(functools.partial(_clusters, similarity=similarity)), "a long, b long")
     cluster = materialize(components(materialize(met, "met")).withColumnRenamed("root", "key"), "clusters")
     sizes = cluster.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("blocks"))
