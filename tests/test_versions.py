@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -168,3 +169,23 @@ def test_bloom_filters_miss_no_key(spark):
     got = {(r.run_id, r.k) for r in runs.may_hold(runs.bloom(df, F.col("run"), "k", bits=4096), df.where("run < 2"), "k", bits=4096).collect()}
     held = {(r.run, r.k) for r in df.where("run < 2").collect()}
     assert held <= got and len(got) < 2 * len(held)
+
+
+@pytest.mark.parametrize("bits, hashes", [(1024, 2), (96, 1), (500, 3)])
+def test_bloom_lookup_joins_once_and_finds_what_the_filters_hold(spark, bits, hashes):
+    df = spark.range(400).select((F.col("id") % 7).alias("run"), F.when(F.col("id") != 3, F.concat(F.lit("k"), F.col("id") % 90)).alias("k"))
+    df = df.withColumn("run", F.when(F.col("run") != 6, F.col("run")))
+    found = runs.may_hold(runs.bloom(df, F.col("run"), "k", bits, hashes), df, "k", bits, hashes)
+
+    def places(k):
+        digest = hashlib.md5(k.encode()).hexdigest()
+        return {int(digest[8 * n : 8 * n + 8], 16) % bits for n in range(hashes)}
+
+    rows = [r for r in df.collect() if r.k is not None]
+    filters = {run: set().union(*(places(r.k) for r in rows if r.run == run)) for run in {r.run for r in rows}}
+    want = {(run, k) for run in filters for k in {r.k for r in rows} if places(k) <= filters[run]}
+    got = [(r.run_id, r.k) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join ")]
+    assert "Aggregate" not in top  # pairs of a run and a bit are not grouped: there are as many as runs times keys

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
+from itertools import chain
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,9 +122,36 @@ def bloom(df: DataFrame, run: Column, key: str, bits: int = 1024, hashes: int =
     return set_in.groupBy("run_id", F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("mask"))
 
 
+def _whole(filters: DataFrame, bits: int) -> DataFrame:
+    """One row for every run and bit set in its filter, with the whole filter as an array of longs."""
+    half = lambda n: F.coalesce(F.max(F.when(F.col("word") == n, F.col("mask"))), F.lit(0).cast("long"))
+    longs = [half(n).bitwiseOR(F.shiftleft(half(n + 1), 32)) for n in range(0, (bits + 31) // 32, 2)]
+    wide = filters.groupBy("run_id").agg(F.array(*longs).alias("filter"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits - 1).cast("long"))).alias("bit")
+    return wide.select("run_id", "filter", every).where(F.get("filter", _long("bit")).bitwiseAND(_place("bit")) != 0)
+
+
+def _long(bit: str) -> Column:
+    """Which long of a filter a bit is in."""
+    return F.shiftright(bit, 6).cast("int")
+
+
+def _place(bit: str) -> Column:
+    """The bit's place in that long."""
+    return F.expr(f"shiftleft(1L, CAST({bit} & 63 AS INT))")
+
+
 def may_hold(filters: DataFrame, keys: DataFrame, key: str, bits: int = 1024, hashes: int = 2) -> DataFrame:
-    """``run_id`` and key of the runs that may hold it: all of its bits are set. No run that does is missing."""
-    asked = keys.select(key).distinct().withColumn("bit", F.explode(F.array_distinct(_bits(key, hashes, bits))))
-    asked = asked.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("word", F.floor(F.col("bit") / 32))
-    hit = asked.join(filters, "word").where(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")) != 0)
-    return hit.groupBy("run_id", key, "needed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("needed")).select("run_id", key)
+    """``run_id`` and key of the runs that may hold it: all of its bits are set. No run that does is missing.
+
+    A key meets the runs that have its first bit, once each, and its other bits are looked up in the run's
+    whole filter there: what is joined is neither grouped nor shuffled again.
+    """
+    asked = keys.select(key).distinct().withColumn("asked", _bits(key, hashes, bits))
+    asked = asked.select(key, *(F.get("asked", F.lit(k)).alias(f"_bit{k}") for k in range(hashes)))
+    others = [(_long(f"_bit{k}").alias(f"_long{k}"), _place(f"_bit{k}").alias(f"_place{k}")) for k in range(1, hashes)]
+    asked = asked.select(key, F.col("_bit0").alias("bit"), *chain.from_iterable(others))
+    found = _whole(filters, bits).join(asked, "bit")
+    for k in range(1, hashes):
+        found = found.where(F.get("filter", F.col(f"_long{k}")).bitwiseAND(F.col(f"_place{k}")) != 0)
+    return found.select("run_id", key)
