@@ -53,3 +53,20 @@ def test_crc32c(spark):
     sealed = log.seal(spark.createDataFrame(ROWS, SCHEMA), "crc32c")
     torn = sealed.withColumn("value", F.when(F.col("value") == "b1", "torn").otherwise(F.col("value")))
     assert sorted((r.key, r.value) for r in log.replay(torn, "crc32c").collect()) == [("a", "a2"), ("d", "")]
+
+
+def test_crc32c_of_every_length_and_with_the_record_built_once(spark):
+    def want(data):
+        crc = 0xFFFFFFFF
+        for byte in data:
+            crc ^= byte
+            for _ in range(8):
+                crc = crc >> 1 ^ (checksums.CASTAGNOLI if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    held = [bytes((i * i * 37 + n) % 256 for i in range(n)) for n in (*range(40), 4099)]
+    df = spark.createDataFrame([(bytearray(b),) for b in held], "b binary")
+    assert all(r.c == want(bytes(r.b)) for r in df.select("b", checksums.crc32c(F.col("b")).alias("c")).collect())
+    plan = log.seal(spark.createDataFrame(ROWS, SCHEMA), "crc32c")._jdf.queryExecution().optimizedPlan().toString()
+    each = plan[plan.index("lambdafunction(") : plan.index(" AS crc")]
+    assert "lambda" in each and "value#" not in each  # else the record is put together again for each of its bytes

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,28 +21,59 @@ def record_crc(*columns: str) -> Column:
     return F.crc32(F.concat(*(_bytes(c) for c in columns)))
 
 
-#: The reflected polynomial of CRC-32C (Castagnoli).
-CASTAGNOLI = 0x82F63B78
+#: The reflected polynomials of CRC-32C (Castagnoli) and of Spark's ``crc32``.
+CASTAGNOLI, IEEE = 0x82F63B78, 0xEDB88320
+
+
+def _forth(value: int, polynomial: int, bits: int) -> int:
+    """What so many steps of the polynomial division make of a state."""
+    for _ in range(bits):
+        value = value >> 1 ^ (polynomial if value & 1 else 0)
+    return value
+
+
+def _back(value: int, polynomial: int, bits: int) -> int:
+    """The state that as many steps lead from."""
+    for _ in range(bits):
+        value = (value ^ polynomial) << 1 | 1 if value >> 31 else value << 1
+    return value
+
+
+def _longs(values: Iterable[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
-def _table() -> list[int]:
-    """What eight steps of the polynomial division make of each byte."""
-    found = []
-    for value in range(256):
-        for _ in range(8):
-            value = value >> 1 ^ (CASTAGNOLI if value & 1 else 0)
-        found.append(value)
-    return found
+def _lookup(linear: Callable[[int], int], plus: int) -> Callable[[Column], Column]:
+    """``linear(x) ^ plus`` of a column of 32 bits, by a table for each of its bytes."""
+    tables = [_longs(linear(b << 8 * k) ^ (plus if k == 0 else 0) for b in range(256)) for k in range(4)]
+    byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
+    return lambda x: reduce(Column.bitwiseXOR, (F.get(tables[k], byte(x, k)) for k in range(4)))
 
 
 def crc32c(data: Column) -> Column:
-    """CRC-32C of a binary column, byte by byte in the JVM; Spark's own ``crc32`` is many times faster."""
-    table = F.array(*(F.lit(v).cast("long") for v in _table()))
-    codes = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
-    bytes_ = F.when(F.length(data) > 0, codes).otherwise(F.array().cast("array<long>"))
-    start = F.lit(0xFFFFFFFF).cast("long")
-    step = lambda crc, b: F.shiftright(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(b).bitwiseAND(F.lit(255).cast("long")).cast("int")))
-    return F.aggregate(bytes_, start, step, lambda crc: crc.bitwiseXOR(start))
+    """CRC-32C of a binary column, four bytes at a time in the JVM; Spark's own ``crc32`` is many times faster.
+
+    Spark reads four bytes as a number fastest by their ``crc32``, which is that number under an invertible linear map and
+    a constant. So the state is kept under the same map, takes a word in by xor, and goes on by table. Zeros before
+    the data make whole words of it; the state to begin with is the one that they lead to the usual one from.
+    """
+    mapped = lambda x: _forth(x, IEEE, 32)
+    plain = lambda x: _back(x, IEEE, 32)
+    on = lambda x: mapped(_forth(plain(x), CASTAGNOLI, 32))
+    step = _lookup(on, on(mapped(0xFFFFFFFF) ^ 0xFFFFFFFF))
+    finish = _lookup(plain, 0xFFFFFFFF)
+    starts = _longs(mapped(_back(0xFFFFFFFF, CASTAGNOLI, 8 * n)) for n in (4, 3, 2, 1))
+    zeros = F.array(*(F.lit(b"\0" * n) for n in (4, 3, 2, 1)))
+
+    def of(held: Column) -> Column:
+        odd = (F.length(held) % 4).cast("int")
+        whole = F.concat(F.get(zeros, odd), held)
+        word = lambda d, i: F.crc32(F.substring(d, i, F.lit(4)))
+        words = F.flatten(F.transform(F.array(whole), lambda d: F.transform(F.sequence(F.lit(1), F.length(d), F.lit(4)), lambda i: word(d, i))))
+        return F.aggregate(words, F.get(starts, odd), lambda state, w: step(state.bitwiseXOR(w)), finish)
+
+    # a lambda computes what stands in it anew for every element, but for its own variables: the data become one
+    return F.get(F.transform(F.array(F.coalesce(data, F.lit(b""))), of), F.lit(0))
 
 
 def record_crc32c(*columns: str) -> Column:
