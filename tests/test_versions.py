@@ -164,6 +164,28 @@ def test_overlaps_of_ranges_of_any_width(spark, cells):
     assert runs.overlap_pairs(df.limit(0), cells).count() == 0
 
 
+@pytest.mark.parametrize("cells, least", [(1, 1), (5, 1), (64, 1), (64, 40)])
+def test_overlaps_of_runs_that_begin_alike_are_dealt_out(spark, cells, least):
+    rng = random.Random(4)
+    rows = [(i, 0, rng.choice([0, 3, 90])) for i in range(150)] + [(i, i, i + rng.randrange(40)) for i in range(150, 220)]
+    rows += [(None, 0, 90), (500, None, None)]
+    df = spark.createDataFrame(rows, "run_id long, min_key int, max_key int")
+    held = [r for r in rows if None not in r]
+    want = sorted((x[0], y[0]) for x in held for y in held if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2])
+    found = runs.overlap_pairs(df, cells, least, task=2000)
+    assert sorted(map(tuple, found.collect())) == want
+    if (cells, least) == (64, 1):  # no task holds more than a few blocks' pairs, though two thirds of the runs begin alike
+        parts = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) >= 5 and max(r["count"] for r in parts) < len(want) / 2
+
+
+def test_overlaps_of_fractions_nan_being_largest(spark):
+    nan = float("nan")
+    rows = [(1, 0.5, 2.5), (2, 2.5, nan), (3, 9.0, 9.5), (4, nan, nan), (5, -1.0, 0.25)]
+    df = spark.createDataFrame(rows, "run_id long, min_key double, max_key double")
+    assert sorted(map(tuple, runs.overlap_pairs(df, 8, 1).collect())) == [(1, 2), (2, 3), (2, 4)]
+
+
 def test_bloom_filters_miss_no_key(spark):
     df = spark.range(3000).select((F.col("id") % 10).alias("run"), F.concat(F.lit("k"), "id").alias("k"))
     got = {(r.run_id, r.k) for r in runs.may_hold(runs.bloom(df, F.col("run"), "k", bits=4096), df.where("run < 2"), "k", bits=4096).collect()}

@@ -93,20 +93,63 @@ def prune_stats(stats: DataFrame, low: Any, high: Any) -> DataFrame:
     return stats.where((F.col("max_key") >= low) & (F.col("min_key") <= high))
 
 
-def overlap_pairs(stats: DataFrame, cells: int = 256) -> DataFrame:
-    """Pairs of runs (a < b) with overlapping numeric key ranges, by an equi-join on at most ``cells`` cells.
+@dataclass
+class _Block:
+    """Neighbours in the order of (smallest key, run): the first of them, the furthest that they reach, their number."""
 
-    Of two that overlap, the range of the one that begins first holds the beginning of the other: ranges go to all
-    cells that they reach, beginnings to their own, so a pair meets once. The cells' edges are quantiles of
-    the beginnings, so that their number does not depend on how wide ranges are.
+    key: Any
+    run: Any
+    reach: Any
+    rows: int
+
+
+def _order(value: Any) -> tuple:
+    """Spark's order of values: NaN is the largest."""
+    return (True, None) if value != value else (False, value)
+
+
+def _blocks(stats: DataFrame, cells: int, least: int) -> list[_Block]:
+    """At most ``cells`` blocks of about equal size, of ``least`` rows or more (but for the last), in order."""
+    first = F.min(F.struct("min_key", "run_id")).alias("first")
+    cells = min(cells, stats.count() // least + 1)
+    dealt = stats.repartitionByRange(cells, "min_key", "run_id") if cells > 1 else stats
+    found = dealt.groupBy(*([F.spark_partition_id()] if cells > 1 else [])).agg(first, F.max("max_key").alias("reach"), F.count(F.lit(1)).alias("n"))
+    blocks: list[_Block] = []
+    for row in sorted(found.where("n > 0").collect(), key=lambda r: tuple(map(_order, r["first"]))):
+        if blocks and blocks[-1].rows < least:
+            last = blocks[-1]
+            blocks[-1] = _Block(last.key, last.run, max(last.reach, row["reach"], key=_order), last.rows + row["n"])
+        else:
+            blocks.append(_Block(*row["first"], row["reach"], row["n"]))
+    return blocks
+
+
+def overlap_pairs(stats: DataFrame, cells: int = 256, least: int = 512, task: int = 4_000_000) -> DataFrame:
+    """Pairs of runs (a < b) with overlapping key ranges, by an equi-join on pairs of blocks.
+
+    Of two that overlap, the range of the one that begins first holds the beginning of the other. In the order of
+    (smallest key, run) a run therefore overlaps with a stretch of those after it. That order is cut into blocks:
+    a range goes with its own block to each that it reaches, a beginning with each block that reaches its own, so a pair
+    meets once. Blocks part runs with equal smallest keys too; the join's tasks are so many that each compares some
+    ``task`` pairs, however little the rows weigh that they come from.
     """
-    edges = sorted(set(stats.approxQuantile("min_key", [k / cells for k in range(1, cells)], 1 / (4 * cells)))) if cells > 1 else []
-    cell = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c)) if edges else F.lit(0)
-    reach = F.explode(F.sequence(cell(F.col("min_key")), cell(F.col("max_key")))).alias("cell")
-    ranges = stats.select(F.col("run_id").alias("x"), F.col("min_key").alias("low"), F.col("max_key").alias("high"), reach)
-    begins = stats.select(F.col("run_id").alias("y"), F.col("min_key").alias("begin"), cell(F.col("min_key")).alias("cell"))
+    held = stats.select("run_id", "min_key", "max_key").where(" AND ".join(f"{c} IS NOT NULL" for c in ("run_id", "min_key", "max_key")))
+    blocks = _blocks(held, cells, least)
+    ends = [sum(_order(b.key) <= _order(x.reach) for b in blocks) - 1 for x in blocks]  # the last block that some run of x reaches
+    pairs = sum(x.rows * sum(b.rows for b in blocks[i : ends[i] + 1]) for i, x in enumerate(blocks))
+    count = lambda values, test: F.size(F.filter(F.array(*values), test)) if values else F.lit(0)
+    lit = lambda value, column: F.lit(value).cast(held.schema[column].dataType)
+    firsts = [F.struct(lit(b.key, "min_key").alias("min_key"), lit(b.run, "run_id").alias("run_id")) for b in blocks[1:]]
+    own = count(firsts, lambda e: e <= F.struct("min_key", "run_id"))
+    last = count([lit(b.key, "min_key") for b in blocks[1:]], lambda e: e <= F.col("max_key"))
+    reaching = F.filter(F.sequence(F.lit(0), F.col("own")), lambda b: F.get(F.array(*map(F.lit, ends or [0])), b) >= F.col("own"))
+    placed = held.withColumn("own", own)
+    ranges = placed.select(F.col("run_id").alias("x"), F.col("min_key").alias("low"), F.col("max_key").alias("high"), F.col("own").alias("from"), F.explode(F.sequence("own", F.greatest("own", last))).alias("to"))
+    begins = placed.select(F.col("run_id").alias("y"), F.col("min_key").alias("begin"), F.col("own").alias("to"), F.explode(reaching).alias("from"))
+    tasks = min(10_000, pairs // task + 1)
+    dealt = lambda df: df.repartition(tasks, "from", "to")
     before = (F.col("low") < F.col("begin")) | ((F.col("low") == F.col("begin")) & (F.col("x") < F.col("y")))
-    found = ranges.join(begins, "cell").where(before & (F.col("begin") <= F.col("high")))
+    found = dealt(ranges).join(dealt(begins).hint("merge"), ["from", "to"]).where(before & (F.col("begin") <= F.col("high")))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
