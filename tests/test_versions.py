@@ -173,6 +173,7 @@ def test_overlaps_of_runs_that_begin_alike_are_dealt_out(spark, cells, least):
     held = [r for r in rows if None not in r]
     want = sorted((x[0], y[0]) for x in held for y in held if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2])
     found = runs.overlap_pairs(df, cells, least, task=2000)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == want
     if (cells, least) == (64, 1):  # no task holds more than a few blocks' pairs, though two thirds of the runs begin alike
         parts = found.groupBy(F.spark_partition_id()).count().collect()

@@ -137,11 +137,11 @@ def overlap_pairs(stats: DataFrame, cells: int = 256, least: int = 512, task: in
     blocks = _blocks(held, cells, least)
     ends = [sum(_order(b.key) <= _order(x.reach) for b in blocks) - 1 for x in blocks]  # the last block that some run of x reaches
     pairs = sum(x.rows * sum(b.rows for b in blocks[i : ends[i] + 1]) for i, x in enumerate(blocks))
-    count = lambda values, test: F.size(F.filter(F.array(*values), test)) if values else F.lit(0)
+    index = lambda values, test: F.size(F.filter(F.array(*values), test)) - 1 if values else F.lit(0)
     lit = lambda value, column: F.lit(value).cast(held.schema[column].dataType)
-    firsts = [F.struct(lit(b.key, "min_key").alias("min_key"), lit(b.run, "run_id").alias("run_id")) for b in blocks[1:]]
-    own = count(firsts, lambda e: e <= F.struct("min_key", "run_id"))
-    last = count([lit(b.key, "min_key") for b in blocks[1:]], lambda e: e <= F.col("max_key"))
+    firsts = [F.struct(lit(b.key, "min_key").alias("min_key"), lit(b.run, "run_id").alias("run_id")) for b in blocks]
+    own = index(firsts, lambda e: e <= F.struct("min_key", "run_id"))
+    last = index([lit(b.key, "min_key") for b in blocks], lambda e: e <= F.col("max_key"))
     reaching = F.filter(F.sequence(F.lit(0), F.col("own")), lambda b: F.get(F.array(*map(F.lit, ends or [0])), b) >= F.col("own"))
     placed = held.withColumn("own", own)
     ranges = placed.select(F.col("run_id").alias("x"), F.col("min_key").alias("low"), F.col("max_key").alias("high"), F.col("own").alias("from"), F.explode(F.sequence("own", F.greatest("own", last))).alias("to"))
